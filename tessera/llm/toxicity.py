@@ -87,7 +87,7 @@ def marginals(model: Model, rows: list[tuple[int, list[tuple[int, float]]]]):
             moved = np.einsum("ni,nij->nj", first, across(np.maximum(gap - 1, 0))) @ move
             state_in = np.where(gap[:, None] > 0, moved, 1.0)
         state = state_in * np.stack([np.ones(n), heat[:, t]], 1)
-        state /= state.sum(1, keepdims=True)
+        state /= np.maximum(state.sum(1, keepdims=True), 1e-300)
         ahead[on, t] = state[on]
     behind = np.ones((n, 2))
     out = np.zeros((n, most))

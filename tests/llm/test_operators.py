@@ -472,7 +472,7 @@ def test_rules_and_aliases(spark):
 
 
 def test_scan_against_plain_python(spark, small, odd, none):
-    texts = [(90_000 + i, f"some words before. {t} and some after\nnothing here\n{t}") for i, ts in enumerate(license_scan.TEMPLATES.values()) for t in ts] + [(91_000 + i, t) for i, t in enumerate(license_scan.NONE)]
+    texts = [(90_000 + i, f"some words before. {t} and some after\nnothing here\n{t}") for i, t in enumerate(sum(license_scan.TEMPLATES.values(), []))] + [(91_000 + i, t) for i, t in enumerate(license_scan.NONE)]
     rows = small + texts
     got = collections.defaultdict(list)
     for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
