@@ -3,7 +3,7 @@
 Features of a token are its lower-cased word and the word's prefixes of 4 to 8 letters, as far as they are in the vocabulary: those that
 mark toxic documents in a bounded sample of labelled rows (by likelihood ratio).  A token of a toxic document is labelled toxic when its
 best feature is one that toxic documents have far more often; other tokens are labelled clean.  The field has two states, transition
-weights and feature weights, learnt on 64-token windows by its conditional likelihood.  Scoring takes whole texts: between tokens that
+weights and feature weights, learnt on at most ``MAX_WINDOWS`` windows of ``WINDOW`` tokens by its conditional likelihood.  Scoring takes whole texts: between tokens that
 have a feature all steps are alike, so forward and backward messages cross such gaps by a power of one 2 x 2 matrix, and the marginals are
 those of the whole chain.  A document's score is a logistic function of its marginals' sum, their maximum and the text's length, fitted
 on the sample; spans give the offending tokens' offsets.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, held_out, in_pieces, settle
 
-MAX_TOXIC, MAX_CLEAN, MAX_FEATURES, WINDOW = 2000, 3000, 4000, 64
+MAX_TOXIC, MAX_CLEAN, MAX_FEATURES, WINDOW, MAX_WINDOWS, ROUNDS = 1200, 1800, 4000, 32, 6000, 80
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
 MAX_KNOWN = 300_000
@@ -171,10 +171,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     rows = sorted(sample.mapInPandas(cut, "doc_id long, y int, n int, at array<int>, f array<int>, t array<int>").collect(), key=lambda r: r["doc_id"])
     model = _learn(rows, index)
     # the documents' own scores, each class weighted by its share of the labels
-    x, y = [], []
-    for r in rows:
-        x.append(document(r["n"], marginals(model, [(r["n"], _emissions(model, r))])[0]))
-        y.append(r["y"])
+    # many at a time, those with as many hits together
+    rows = sorted(rows, key=lambda r: (len(r["at"]), r["doc_id"]))
+    x, y = [], [r["y"] for r in rows]
+    for k in range(0, len(rows), 400):
+        part = rows[k : k + 400]
+        x += [document(r["n"], p) for r, p in zip(part, marginals(model, [(r["n"], _emissions(model, r)) for r in part]), strict=True)]
     weight = np.where(np.array(y) == 1, share / n1, (1 - share) / n0) * len(y)
     model.final = [float(v) for v in _logistic(np.array(x), np.array(y, dtype=float), weight)]
     return model
@@ -191,12 +193,18 @@ def _learn(rows, index) -> Model:
     """Feature weights, bias and moves by conditional likelihood on windows (Adam, full batch)."""
     import numpy as np
 
-    at, fs, ys, lengths, base = [], [], [], [], 0
+    at, fs, ys, lengths, base, nth = [], [], [], [], 0, 0
+    every = max(1, -(-sum(len({i // WINDOW for i in r["at"]}) for r in rows) // MAX_WINDOWS))
     for r in rows:
-        live: dict[int, int] = {}
+        live: dict[int, int | None] = {}
         for i, f, t in zip(r["at"], r["f"], r["t"], strict=True):
             k = i // WINDOW
             if k not in live:
+                nth += 1
+                live[k] = None
+            if live[k] is None:
+                if nth % every:
+                    continue
                 live[k] = base
                 base += 1
                 lengths.append(min(WINDOW, r["n"] - k * WINDOW))
@@ -219,7 +227,7 @@ def _learn(rows, index) -> Model:
     flat = where[:, 0] * WINDOW + where[:, 1]
     w = np.concatenate([np.zeros(len(index)), [-3.0], np.zeros(4)])
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for k in range(1, 161):
+    for k in range(1, ROUNDS + 1):
         e = np.full(n * WINDOW, w[-5])
         np.add.at(e, flat, w[fs])
         e = e.reshape(n, WINDOW)
@@ -242,7 +250,7 @@ def _learn(rows, index) -> Model:
         g = np.concatenate([np.bincount(fs, weights=slope.reshape(-1)[flat], minlength=len(index)), [slope.sum()], (have - (pair * follows[:, :, None, None]).sum((0, 1))).reshape(-1)]) - 1.0 * w
         g /= n
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w + 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
+        w = w + 0.25 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Model(index, w[:-5].tolist(), float(w[-5]), w[-4:].reshape(2, 2).tolist(), [])
 
 
