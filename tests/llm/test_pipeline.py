@@ -13,7 +13,7 @@ def test_stages_keep_clean_documents_and_drop_copies(spark, sf):
         if name != "tokens":
             assert docs.columns == columns
     assert seen["near_dup"] == seen["substring"] == seen["mixing"] == seen["tokens"] < seen["quality"] < 200
-    labels = duckdb.sql(f"SELECT count(*) FILTER (quality = 1) FROM '{sf}/labels.parquet'").fetchone()[0]
+    labels = duckdb.sql(f"SELECT count(*) FILTER (quality = 1) FROM '{sf}/labels.parquet'").fetchall()[0][0]
     assert seen["quality"] >= labels
 
 
