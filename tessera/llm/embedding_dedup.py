@@ -1,13 +1,17 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Vectors are scaled to length 1 in double precision; equal ones are one class.  Centres are drawn from a bounded sample; every class goes to
-the shards of its nearest centres (``OVERLAP`` of them, and any other nearly as near), so shards overlap.  A shard too large for a task is
-dealt into parts, and each pair of parts is a task.  A task builds a flat graph: from every vector's nearest neighbours, pruned so that an
-edge is dropped when a kept neighbour is much nearer to its end (robust pruning), with reverse edges.  The adjacency lists of all tasks are
-united.  Then each task searches every one of its vectors: greedily from the task's medoid with a beam, and once it is within range, by
-expanding all neighbours in range until none is new.  Found pairs are verified by cosine in double precision.
+the shard of its nearest centre.  A shard too large for a task is dealt into parts, and each pair of parts is a task.  A task builds a flat
+graph: from every vector's nearest neighbours, pruned so that an edge is dropped when a kept neighbour is much nearer to its end (robust
+pruning), with reverse edges.  The adjacency lists of all tasks are united.  Then each task searches every one of its vectors: greedily from
+the task's medoid with a beam, and once it is within range, by expanding all neighbours in range until none is new.  Found pairs are
+verified by cosine in double precision.
 
-A pair is counted in one task only, the first that both share, so links are counted without listing pairs; tasks give each vector's count
+Pairs whose shards differ are all compared (``across``): in 64 dimensions a neighbour at cosine 0.9 may lie in nearly any shard, so bounds
+from the centres leave nothing out.  Classes are dealt into blocks and each pair of blocks is a matrix product: its arithmetic is the square
+of the number of vectors, and each vector is sent once for every ``BLOCK`` vectors.
+
+A pair is counted in one task only, its shard's or its blocks', so links are counted without listing pairs; tasks give each vector's count
 and a spanning forest.  ``audit`` measures recall against brute force.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths
@@ -22,11 +26,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, settle
 from tessera.llm.graph import components
+from tessera.llm.ngram_join import forest
 
 THRESHOLD = 0.9
 #: Vectors that centres are fitted on, at most, and vectors a centre and a task shall have.
 SAMPLE, SHARD, PART = 8192, 800, 2000
-OVERLAP, DEGREE, BEAM, ALPHA = 2, 24, 32, 1.2
+#: Vectors in a block of the comparison across shards.
+BLOCK = 16_000
+DEGREE, BEAM, ALPHA = 24, 32, 1.2
 
 
 def scaled(vectors):
@@ -190,7 +197,7 @@ def vectors(embeddings: DataFrame) -> DataFrame:
 
 
 def assign(classes: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """``key, dim, size, unit, shards, shard``: each class in all of its shards."""
+    """``key, dim, size, unit, shard``: each class in its nearest centre's shard."""
     import numpy as np
     import pyarrow as pa
 
@@ -203,23 +210,18 @@ def assign(classes: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> Data
 
     def run(batches):
         for b in batches:
-            lists = []
-            for dim, unit in zip(b.column("dim").to_pylist(), b.column("unit").to_pylist(), strict=True):
-                s = sent.value[dim] @ np.frombuffer(unit)
-                top = np.argsort(-s, kind="stable")[: OVERLAP + 2]
-                lists.append(sorted(int(k) for i, k in enumerate(top) if i < OVERLAP or s[k] >= s[top[0]] - 0.02))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "dim", "size", "unit")), pa.array(lists, pa.list_(pa.int32()))], names=["key", "dim", "size", "unit", "shards"])
+            near = [int((sent.value[dim] @ np.frombuffer(unit)).argmax()) for dim, unit in zip(b.column("dim").to_pylist(), b.column("unit").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "dim", "size", "unit")), pa.array(near, pa.int32())], names=["key", "dim", "size", "unit", "shard"])
 
-    made = classes.select("key", "dim", "size", "unit").mapInArrow(run, "key binary, dim int, size long, unit binary, shards array<int>")
-    return made.withColumn("shard", F.explode("shards"))
+    return classes.select("key", "dim", "size", "unit").mapInArrow(run, "key binary, dim int, size long, unit binary, shard int")
 
 
 def deal(placed: DataFrame, part: int = PART) -> DataFrame:
-    """The tasks' rows: ``dim, shard, i, j, part, key, size, unit, shards``; a shard of more than ``part`` classes has several parts."""
+    """The tasks' rows: ``dim, shard, i, j, part`` and the other columns; a shard of more than ``part`` classes has several parts."""
     parts = placed.groupBy("dim", "shard").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
     row = placed.join(parts, ["dim", "shard"]).withColumn("part", F.pmod(F.xxhash64("key", F.lit("part")), F.col("parts")).cast("int"))
     each = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(F.least("part", other).alias("i"), F.greatest("part", other).alias("j")))
-    return row.withColumn("at", F.explode(each)).select("dim", "shard", "at.i", "at.j", "part", "key", "size", "unit", "shards")
+    return row.withColumn("at", F.explode(each)).select("dim", "shard", "at.i", "at.j", "part", *(c for c in placed.columns if c not in ("dim", "shard")))
 
 
 TASK = ("dim", "shard", "i", "j")
@@ -264,18 +266,16 @@ def found(dealt: DataFrame, united: DataFrame, threshold: float) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for (_, shard, i, j), held in tasks(batches, ("part", "key", "size", "unit", "shards", "around")):
+        for (_, _, i, j), held in tasks(batches, ("part", "key", "size", "unit", "around")):
             v = np.stack([np.frombuffer(h[3]) for h in held])
             keys, sizes = [h[1] for h in held], np.array([h[2] for h in held], dtype=np.int64)
             index = {k: n for n, k in enumerate(keys)}
-            lists = [[index[x] for x in h[5] or () if x in index] for h in held]
+            lists = [[index[x] for x in h[4] or () if x in index] for h in held]
             adjacency = np.full((len(held), max(1, max(map(len, lists)))), -1, dtype=np.int32)
             for n, x in enumerate(lists):
                 adjacency[n, : len(x)] = x
             medoid = int(np.argmax(v @ v.mean(0)))
             part = np.array([h[0] for h in held])
-            shards = [set(h[4]) for h in held]
-            alone = all(len(s) == 1 for s in shards)
             counts = np.zeros(len(held), dtype=np.int64)
             edges: list[tuple[int, int]] = []
             label = np.arange(len(held))
@@ -288,17 +288,55 @@ def found(dealt: DataFrame, united: DataFrame, threshold: float) -> DataFrame:
                 if not len(x):
                     continue
                 ok = (part[x] == i) & (part[y] == j) | (part[x] == j) & (part[y] == i)
-                if not alone:
-                    ok &= np.array([min(shards[p] & shards[q]) == shard for p, q in zip(x.tolist(), y.tolist(), strict=True)])
                 np.add.at(counts, x[ok], sizes[y[ok]])
-            edges = spanning(len(held), edges)
-            some = np.flatnonzero(counts).tolist()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([keys[n] for n in some] + [keys[p] for p, _ in edges], pa.binary()), pa.array([None] * len(some) + [keys[q] for _, q in edges], pa.binary()), pa.array([int(counts[n]) for n in some] + [0] * len(edges), pa.int64()),
-            ], names=["key", "other", "links"])
+            yield counted(keys, counts, spanning(len(held), edges))
 
     rows = dealt.join(united, "key", "left")
-    return grouped(rows.select(*TASK, "part", "key", "size", "unit", "shards", "around")).mapInArrow(run, "key binary, other binary, links long")
+    return grouped(rows.select(*TASK, "part", "key", "size", "unit", "around")).mapInArrow(run, "key binary, other binary, links long")
+
+
+def across(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``key, other, links`` as in ``found``, of the pairs whose shards differ: all of them, by products of blocks."""
+    import numpy as np
+
+    def run(batches):
+        for (_, _, i, j), held in tasks(batches, ("part", "key", "size", "unit", "home")):
+            keys, sizes = [h[1] for h in held], np.array([h[2] for h in held], dtype=np.int64)
+            v = np.stack([np.frombuffer(h[3]) for h in held])
+            part, home = np.array([h[0] for h in held]), np.array([h[4] for h in held])
+            left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            w, there = v[right], home[right]
+            counts = np.zeros(len(held), dtype=np.int64)
+            edges: list[tuple[int, int]] = []
+            for a in range(0, len(left), 256):
+                x = left[a : a + 256]
+                hit = (v[x] @ w.T >= threshold) & (home[x][:, None] != there[None, :])
+                rows, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
+                if not len(rows):
+                    continue
+                hit, p, q = hit[np.ix_(rows, cols)], x[rows], right[cols]
+                counts[p] += hit @ sizes[q]
+                if i != j:
+                    counts[q] += hit.T @ sizes[p]
+                ends = np.concatenate([p, q]).tolist()
+                edges += [(ends[m], ends[r]) for m, r in forest(hit, True)]
+                if len(edges) > 200_000:
+                    edges = spanning(len(held), edges)
+            yield counted(keys, counts, spanning(len(held), edges))
+
+    blocks = deal(placed.withColumn("home", F.col("shard")).withColumn("shard", F.lit(-1)), block)
+    return grouped(blocks.select(*TASK, "part", "key", "size", "unit", "home")).mapInArrow(run, "key binary, other binary, links long")
+
+
+def counted(keys: list, counts, edges: list[tuple[int, int]]):
+    """A task's rows: counts of its vectors that have links, then its forest's edges."""
+    import numpy as np
+    import pyarrow as pa
+
+    some = np.flatnonzero(counts).tolist()
+    return pa.RecordBatch.from_arrays([
+        pa.array([keys[n] for n in some] + [keys[p] for p, _ in edges], pa.binary()), pa.array([None] * len(some) + [keys[q] for _, q in edges], pa.binary()), pa.array([int(counts[n]) for n in some] + [0] * len(edges), pa.int64()),
+    ], names=["key", "other", "links"])
 
 
 def spanning(n: int, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -323,8 +361,9 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, shard: int = SHAR
     """``vec_id, n_links, component_id, kept`` for each row."""
     made = settle(vectors(embeddings))
     classes = settle(made.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size"), F.first("dim").alias("dim"), F.first("unit").alias("unit")))
-    dealt = settle(deal(assign(classes, shard), part))
-    made_links = settle(found(dealt, graphs(dealt), threshold))
+    placed = settle(assign(classes, shard))
+    dealt = settle(deal(placed, part))
+    made_links = settle(found(dealt, graphs(dealt), threshold).union(across(placed, threshold)))
     counts = made_links.where("other is null").groupBy("key").agg(F.sum("links").alias("links"))
     groups = components(made_links.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     joined = groups.join(classes.select("key", "class_id"), F.col("id") == F.col("key")).select("key", "component", "class_id")

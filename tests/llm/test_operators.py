@@ -194,6 +194,23 @@ def test_links_against_brute_force(spark):
     assert embedding_dedup.audit(made, embedding_dedup.links(made), 50) >= 0.9
 
 
+def test_links_across_shards_are_whole(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n, dim = 3000, 64
+    v = rng.normal(size=(n, dim))
+    v[:1000] = v[0] / np.linalg.norm(v[0]) + rng.normal(size=(1000, dim)) * 0.27 / 8  # mutual cosine about 0.93, dealt to many shards
+    v[2000:] = v[1000:2000] + rng.normal(size=(1000, dim)) * 0.42  # pairs near 0.92
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    monkeypatch.setattr(embedding_dedup.across, "__defaults__", (700,))  # several blocks
+    made = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.links(made, shard=50).collect()}
+    assert [got[i] for i in range(n)] == near.sum(1).tolist()
+
+
 def test_embedding_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (2, [2.0, 0.0]), (11, [1e-200, 0.0]), (12, [0.0, 1e300])]
