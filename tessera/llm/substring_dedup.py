@@ -1,16 +1,20 @@
 """Substring dedup by content-defined chunking.
 
-A gear hash rolls over each text's UTF-8 bytes (a table entry per byte, shifted left one bit a step, 32 bits, so 32 bytes of memory); a
-chunk ends where its top bits are zero, at least ``MIN_CHUNK`` and at most ``MAX_CHUNK`` bytes after its start.  Insertions move only the
-cuts beside them.  Chunks are grouped by a 128-bit digest.  A chunk that occurs in more than one document is kept in the document with
-the least id and is a repeat elsewhere; a chunk that occurs twice in one document is a repeat from its second place on.  Neighbouring
-repeats are joined, and a run of at least ``MIN_RUN`` bytes is a repeated passage, which ``cut`` removes.
+A gear hash rolls over each text's UTF-8 bytes (a table entry per byte, shifted left one bit a step, 32 bits, so 32 bytes of memory).
+Anchors are content-defined: the least hash of every window of places that ``MIN_RUN`` bytes hold, so two texts that share ``MIN_RUN`` bytes
+share an anchor in them, whatever stands around.  The 32 bytes at an anchor are its seed, known by a 64-bit digest.  A seed that occurs in
+more than one document belongs to the document with the least id and is a repeat elsewhere; one that occurs twice in one document only is a
+repeat from its second place on.  A repeat is extended to both sides for as long as its bytes equal those of the owner's text, and counts
+from ``MIN_RUN`` bytes on.  Passages that touch are joined; ``cut`` removes them.  (``cuts`` gives the chunks of one text by fixed top bits.)
+
+A seed is extended along its owner's first place of it only.  A passage is missed where each of its seeds also stands, in other
+surroundings, in a document before the passage's or earlier in it.
 
 Skew: digests are counted with map-side combining before anything is joined, and the join back is one that Spark splits by itself.
 
-Edge cases: a null text is empty; empty texts have no chunks.  Rows with a null id count as one document before all others.  Rows with the
-same id and text are one document; rows with the same id and different texts own a chunk together.  Texts of any length are chunked
-whole.  Cuts fall between code points.  An empty table gives no rows.  Extra columns pass through ``cut``.
+Edge cases: a null text is empty; texts under ``MIN_RUN`` bytes have no seeds.  Rows with a null id count as one document before all others.  Rows with the
+same id and text are one document; rows with the same id and different texts aren't compared with each other.  Texts of any length are
+read whole.  Cuts fall between code points.  An empty table gives no rows.  Extra columns pass through ``cut``.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_text, text_bytes, whole_text
+from tessera.llm.common import bounded_batches, by_text, settle, text_bytes, whole_text
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK, MIN_RUN = 16, 5, 256, 96
-SEED = 0x5EED
+SEED, SEED_BYTES = 0x5EED, 32
 NO_ID = -(2**63)
 
 
@@ -68,8 +72,28 @@ def cuts(data, table=None) -> list[int]:
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``dk, th, again, start, size, h1, h2``: the chunks of every text; again: the digest has come before in the text."""
+def anchors(data, table=None):
+    """Places of one text's seeds: the first least hash of every ``MIN_RUN`` bytes."""
+    import numpy as np
+
+    if len(data) < MIN_RUN:
+        return np.zeros(0, dtype=np.int64)
+    h = gear(data, gear_table() if table is None else table)[SEED_BYTES - 1 :].astype(np.uint64)
+    low, width, window = h << np.uint64(32) | np.arange(len(h), dtype=np.uint64), 1, MIN_RUN - SEED_BYTES + 1
+    while width < window:
+        step = min(width, window - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at[np.append(True, at[1:] != at[:-1])]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text")).where("text != ''")
+
+
+def seeds(docs: DataFrame) -> DataFrame:
+    """``dk, th, start, again, h``: the seeds of every text; again: the digest has come before in the text."""
     import numpy as np
     import xxhash
 
@@ -79,63 +103,132 @@ def chunks(docs: DataFrame) -> DataFrame:
         data, bounds = text_bytes(piece.column("text"))
         raw = data.tobytes()
         dk, th = piece.column("dk").to_pylist(), piece.column("th").to_pylist()
-        cols: dict[str, list] = {k: [] for k in ("dk", "th", "again", "start", "size", "h1", "h2")}
+        cols: dict[str, list] = {k: [] for k in ("dk", "th", "start", "again", "h")}
         for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            ends = cuts(data[a:b], table)
-            starts = [0, *ends[:-1]]
-            digests = [xxhash.xxh3_128_intdigest(raw[a + s : a + e]) for s, e in zip(starts, ends, strict=True)]
+            starts = anchors(data[a:b], table).tolist()
+            digests = [xxhash.xxh3_64_intdigest(raw[a + s : a + s + SEED_BYTES]) - 2**63 for s in starts]
             seen: set[int] = set()
-            cols["again"] += [d in seen or seen.add(d) is not None for d in digests]
-            cols["dk"] += [dk[i]] * len(ends)
-            cols["th"] += [th[i]] * len(ends)
+            cols["dk"] += [dk[i]] * len(starts)
+            cols["th"] += [th[i]] * len(starts)
             cols["start"] += starts
-            cols["size"] += [e - s for s, e in zip(starts, ends, strict=True)]
-            cols["h1"] += [(d >> 64) - 2**63 for d in digests]
-            cols["h2"] += [(d & 0xFFFFFFFFFFFFFFFF) - 2**63 for d in digests]
-        return {k: np.array(v, dtype=bool if k == "again" else np.int32 if k in ("start", "size") else np.int64) for k, v in cols.items()}
+            cols["again"] += [d in seen or seen.add(d) is not None for d in digests]
+            cols["h"] += digests
+        return {k: np.array(v, dtype=bool if k == "again" else np.int32 if k == "start" else np.int64) for k, v in cols.items()}
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text")).where("text != ''")
-    return by_text(rows, work, "dk long, th long, again boolean, start int, size int, h1 long, h2 long", 1_000_000)
+    return by_text(identified(docs), work, "dk long, th long, start int, again boolean, h long", 1_000_000)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Repeated passages by document: ``dk, th, spans``; a span has start and size in bytes, and the owner of its first chunk."""
-    made = chunks(docs)
-    groups = made.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("dk").alias("owner")).where("n > 1").drop("n")
-    hits = made.join(groups, ["h1", "h2"]).where("again or dk != owner")
-    # one document's chunks; a repeated row brings each twice, and joined() takes one
-    return joined(hits.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "size", "owner")).alias("hits")))
+    """Repeated passages by document: ``dk, th, spans``; a span has start and size in bytes, and the owner of its first passage."""
+    bounded_batches(docs.sparkSession)
+    made = seeds(docs)
+    groups = made.groupBy("h").agg(F.count("*").alias("n"), F.min("dk").alias("odk")).where("n > 1").drop("n")
+    hits = made.join(groups, "h").where("again or dk != odk")
+    # a repeated row brings each place twice
+    pairs = hits.groupBy("dk", "th", "odk").agg(F.collect_set("start").alias("places"))
+    # dealt by dk alone, so that both joins read one exchange of the texts; an equation of hashes in the join would deal them again
+    texts = identified(docs).repartition(F.col("dk")).groupBy("dk", "th").agg(F.first("text").alias("text"))
+    same = lambda a, b: F.col(a).bitwiseXOR(F.col(b)) == 0
+    both = lambda pairs: pairs.join(texts.withColumnRenamed("th", "of"), "dk").where(same("th", "of"))
+    owners = texts.select(F.col("dk").alias("odk"), F.col("th").alias("oth"), F.col("text").cast("binary").alias("owner_text"))
+    raw = F.col("text").cast("binary")
+    base, end = F.greatest(F.lit(0), F.array_min("places") - MIN_RUN), F.least(F.length(raw), F.array_max("places") + SEED_BYTES + MIN_RUN)
+    near = both(pairs).select("dk", "th", "odk", "places", base.alias("base"), (end < F.length(raw)).alias("more"), F.substring(raw, base + 1, end - base).alias("text"))
+    held = (F.col("dk") != F.col("odk")) | same("th", "oth")
+    # a passage that goes on where the bytes around the seeds end is extended again along the whole text
+    first = settle(extended(near.join(owners, "odk").where(held)))
+    on = both(first.where("places is not null").select("dk", "th", "odk", "oth", "places"))
+    rest = extended(on.select("dk", "th", "odk", "places", F.lit(0).alias("base"), F.lit(False).alias("more"), raw.alias("text"), F.col("oth").alias("in")).join(owners, "odk").where(same("in", "oth")))
+    found = first.where("places is null").union(rest).select("dk", "th", "start", "size", F.col("odk").alias("owner"))
+    return joined(found.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "size", "owner")).alias("hits")))
+
+
+def alike(a, b) -> int:
+    """How many bytes are equal from the start on."""
+    n, at, step = min(len(a), len(b)), 0, 64
+    while at < n:
+        other = a[at : min(at + step, n)] != b[at : min(at + step, n)]
+        k = int(other.argmax())
+        if other[k]:
+            return at + k
+        at, step = at + len(other), min(2 * step, 65_536)
+    return n
+
+
+def starts_in(text: bytes, owner: bytes, places: list[int], base: int | None) -> list[tuple[int, int]]:
+    """Each place of a seed with the seed's first place in the owner; ``base``: where the text begins in the owner, if that is the text itself."""
+    found = [(p, owner.find(text[p : p + SEED_BYTES])) for p in places]
+    return [(p, at) for p, at in found if at >= 0 and (base is None or at < p + base)]
+
+
+def grown(text, owner, places: list[tuple[int, int]], before: bool = False, after: bool = False) -> tuple[list[tuple[int, int]], bool]:
+    """Passages of at least ``MIN_RUN`` bytes, as (start, end), that the places (start, start in the owner) grow to.
+
+    Also whether one reaches the start or the end of ``text`` where there are bytes before or after it.
+    """
+    along: dict[int, int] = {}
+    out, head, tail, cut_off = [], 0, 0, False
+    for s, o in sorted(places):
+        # on the same line as a passage, or so deep in one that what leads out of it has an anchor nearer to its end
+        if s < along.get(s - o, -1) or (head + MIN_RUN <= s and s + SEED_BYTES + MIN_RUN <= tail):
+            continue
+        left, right = alike(text[:s][::-1], owner[:o][::-1]), alike(text[s:], owner[o:])
+        along[s - o] = s + right
+        a, b = s - left, s + right
+        cut_off |= (before and a == 0) or (after and b == len(text))
+        if b - a >= MIN_RUN and b > tail:
+            head, tail = a, b
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if b - a >= MIN_RUN:
+            out.append((a, b))
+    return out, cut_off
+
+
+def extended(both: DataFrame) -> DataFrame:
+    """``dk, th, odk, oth, start, size, places``: the passages that a text, from ``base`` on, shares with one owner.
+
+    Where a passage reaches an end of the bytes given that isn't the text's end (``more``: of the right one), the pair has one row with its
+    places instead.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    out = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("odk", pa.int64()), ("oth", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("places", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                text, owner, base = np.frombuffer(r["text"], dtype=np.uint8), np.frombuffer(r["owner_text"], dtype=np.uint8), r["base"]
+                key = {k: r[k] for k in ("dk", "th", "odk", "oth")}
+                spans, cut_off = grown(text, owner, starts_in(r["text"], r["owner_text"], [p - base for p in r["places"]], None if r["dk"] != r["odk"] else base), base > 0, r["more"])
+                rows += [{**key, "places": r["places"]}] if cut_off else [{**key, "start": a + base, "size": b - a} for a, b in spans]
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    return both.select("dk", "th", "odk", "oth", "places", "base", "more", "text", "owner_text").mapInArrow(run, "dk long, th long, odk long, oth long, start int, size int, places array<int>")
 
 
 def joined(hits: DataFrame) -> DataFrame:
-    import numpy as np
+    """Passages that overlap or touch as one span."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     kind = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("owner", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            col = batch.column("hits")
-            flat = col.flatten()
-            start, size, owner = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("start", "size", "owner"))
-            doc = np.repeat(np.arange(len(col)), pc.list_value_length(col).to_numpy(zero_copy_only=False))
-            order = np.lexsort((start, doc))
-            doc, start, size, owner = doc[order], start[order], size[order], owner[order]
-            once = np.ones(len(doc), dtype=bool)
-            once[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
-            doc, start, size, owner = doc[once], start[once], size[once], owner[once]
-            head = np.ones(len(doc), dtype=bool)
-            head[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + size[:-1])
-            at = np.flatnonzero(head)
-            total = np.add.reduceat(size, at) if len(at) else size
-            long_ = total >= MIN_RUN
-            at, total = at[long_], total[long_]
-            rows, counts = np.unique(doc[at], return_counts=True)
-            spans = pa.StructArray.from_arrays([pa.array(start[at], pa.int32()), pa.array(total, pa.int32()), pa.array(owner[at], pa.int64())], fields=list(kind.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), spans)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays([batch.column("dk").take(take), batch.column("th").take(take), lists.cast(kind)], names=["dk", "th", "spans"])
+            lists = []
+            for row in batch.column("hits").to_pylist():
+                spans: list[dict] = []
+                for x in sorted(row, key=lambda x: (x["start"], -x["size"], x["owner"])):
+                    if spans and x["start"] <= spans[-1]["start"] + spans[-1]["size"]:
+                        spans[-1]["size"] = max(spans[-1]["size"], x["start"] + x["size"] - spans[-1]["start"])
+                    else:
+                        spans.append(x)
+                lists.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(lists, kind)], names=["dk", "th", "spans"])
 
     return hits.mapInArrow(run, "dk long, th long, spans array<struct<start:int,size:int,owner:long>>")
 

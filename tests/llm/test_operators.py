@@ -148,6 +148,42 @@ def test_passages_and_cut(spark):
         assert base[i][:400] in after[i] and base[i][-400:] in after[i]
 
 
+def test_anchors_leave_no_passage_out():
+    import numpy as np
+
+    rng = random.Random(8)
+    for k in range(200):
+        shared = "".join(rng.choice("abcdefgh ") for _ in range(substring_dedup.MIN_RUN))
+        texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(300))) + "|" + shared + "|" + "".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(2)]
+        at = [t.index("|" + shared) + 1 for t in texts]
+        inside = [{i - a for i in substring_dedup.anchors(np.frombuffer(t.encode(), dtype=np.uint8)).tolist() if 0 <= i - a <= len(shared) - substring_dedup.SEED_BYTES} for t, a in zip(texts, at, strict=True)]
+        assert inside[0] & inside[1]
+
+
+def test_short_passages_are_cut_whole(spark):
+    rng = random.Random(6)
+    word = lambda: rng.choice("bcdfgx") + str(rng.randrange(5000)) + rng.choice(["", "é", "漢"])
+    rows, want = [], []
+    for k in range(150):  # each passage of 51 words in two documents, between other words
+        passage = " ".join(word() for _ in range(51))
+        for copy in range(2):
+            head, tail = (" ".join(word() for _ in range(200)) for _ in range(2))
+            rows.append((2 * k + copy, f"{head} {passage} {tail}"))
+            want.append((head, passage, tail))
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (head, _, tail) in enumerate(want):
+        if i % 2 == 0:
+            assert got[i] == rows[i][1]
+        else:  # equal bytes on either side go with the passage: the spaces at least
+            assert got[i].startswith(head[:-20]) and got[i].endswith(tail[20:]) and len(head) + len(tail) - 20 <= len(got[i]) <= len(head) + len(tail)
+
+
+def test_a_long_run_of_one_byte_is_cut_to_its_first(spark):
+    docs = spark.createDataFrame([(1, "a" * 20_000), (2, "b" + "a" * 30_000 + "c")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.cut(docs).collect()}
+    assert 0 < len(got[1]) <= 40 and len(got[2]) <= 40 and got[2][0] == "b" and got[2][-1] == "c"
+
+
 def test_cut_edges(spark, odd, none):
     got = substring_dedup.cut(odd)
     assert got.columns == odd.columns and got.count() == len(ODD)
