@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, by_text, in_pieces, settle, text_bytes, text_key, whole_text
@@ -219,8 +219,16 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     class_id: least id with the same text; n_links: other rows linked directly, those with the same text included; component_id: least id
     that links reach; kept: the one row that stays of its component.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    made, placed = classed(docs, threshold, recall)
+    out = made.select("doc_id", "key").join(placed, "key", "left")
+    class_id = F.coalesce("class_id", "doc_id")
+    component = F.coalesce("component_id", class_id)
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
+
+
+def classed(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, key`` of each row, and ``key, class_id, component_id, component, n_links`` of each text with words (component: a key, if linked)."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), whole_text().alias("text"))
     made = settle(sketches_with_id(rows, bands_for(threshold, recall)))
     classes = made.where("grams > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("grams").alias("grams"))
@@ -239,12 +247,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     groups = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     grouped = groups.join(classes.select("key", "class_id"), F.col("id") == F.col("key")).select("key", "component", "class_id")
     least = grouped.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    placed = classes.select("key", "class_id", "size").join(counts, "key", "left").join(grouped.join(least, "component").select("key", "component_id"), "key", "left")
-    placed = placed.select("key", "class_id", "component_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = made.select("doc_id", "key").join(placed, "key", "left")
-    class_id = F.coalesce("class_id", "doc_id")
-    component = F.coalesce("component_id", class_id)
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("doc_id").isNull() & component.isNull()).alias("kept"))
+    placed = classes.select("key", "class_id", "size").join(counts, "key", "left").join(grouped.join(least, "component").select("key", "component", "component_id"), "key", "left")
+    return made, placed.select("key", "class_id", "component_id", "component", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
 
 
 def sketches_with_id(rows: DataFrame, bands: int) -> DataFrame:
@@ -259,11 +263,22 @@ def spark_has_repeats(made: DataFrame) -> bool:
 
 
 def representatives(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each component, with all columns of ``docs``.
+    """One row of each component, with all columns of ``docs``: the one with the least id, rows without an id last.
 
-    Rows with the same id and text are one document, of which one row stays; rows without words are no one's copies and stay.
+    Rows are told apart by id and text.  Of rows repeated with the same id and text one stays; rows without words are no one's copies and
+    stay.
     """
-    found = links(docs, threshold)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    return stay
+    made, placed = classed(docs, threshold, RECALL)
+    ids = made.join(placed.select("key", F.coalesce("component", "key").alias("head")), "key").groupBy("head", "key", "doc_id").agg(F.count("*").alias("n"))
+    ids = settle(ids)
+    ids = ids.join(ids.groupBy("head").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")), "head")
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    gone = ids.where(~kept).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    stay = docs.join(gone, same, "left_anti")
+    again = ids.where(kept & (F.col("n") > 1)).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    if not again.head(1):
+        return stay
+    alike = Window.partitionBy(F.col("doc_id").cast("long"), text_key()).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+    one = stay.join(again, same, "left_semi").withColumn("_n", F.row_number().over(alike)).where("_n = 1").drop("_n")
+    return stay.join(again, same, "left_anti").unionByName(one)

@@ -311,6 +311,20 @@ def test_join_edges(odd, none):
     assert 1 - (1 - 0.8**5) ** ngram_join.bands_for() >= 0.999
 
 
+def test_representatives_by_id_and_text(spark):
+    a, b, c, d, e = words(5, 31, 60)
+    near = a + " end"
+    rows = [(1, a, "x"), (None, a, "x"), (None, b, "x"), (7, near, "x"), (7, c, "x"), (9, d, "x"), (9, d, "x"), (None, e, "x"), (None, e + " end", "x"), (None, e, "y"), (3, "", "x"), (3, "", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    kept = ngram_join.representatives(docs)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    one = [r for r in got if r[1] in (e, e + " end")]
+    assert len(one) == 1 and one[0] in rows
+    rest = [(1, a, "x"), (None, b, "x"), (7, c, "x"), (9, d, "x"), (3, "", "x"), (3, "", "x"), (None, None, "x")]
+    assert sorted(map(str, (r for r in got if r not in one))) == sorted(map(str, rest))
+
+
 # -- 5 quality -------------------------------------------------------------------------------------------------------------------------
 
 
