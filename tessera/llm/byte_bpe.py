@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, in_pieces
+from tessera.llm.common import in_pieces
 
 BUCKETS, NONE = 8192, 2**31 - 1
 #: Words that a task remembers, and bytes from which a word is long.
@@ -284,7 +284,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    bounded_batches(docs.sparkSession)
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"no token for the bytes {missing[:5]}")
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pairs_of(ranks)))  # follows the vocabulary's size, not the data's

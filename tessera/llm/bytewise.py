@@ -7,19 +7,12 @@ import numpy as np
 from tessera.llm.common import SPACES
 
 _rng = np.random.default_rng(20_240_229)
-TABLE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-BASE = np.uint64(_rng.integers(1, 2**63)) | np.uint64(1)
+#: A random number for each byte at each of a run's first places; further places are mixed from byte and place.
+PLACES = 512
+TABLE = _rng.integers(0, 2**64, (PLACES, 256), dtype=np.uint64)
 STEPS = _rng.integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[ord(c) for c in SPACES]] = True
-_powers = np.ones(64, dtype=np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(2 * n, BASE, dtype=np.uint64))])
-    return _powers
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -31,7 +24,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def runs(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes that aren't ``apart``, never across rows: starts, lengths, 64-bit hashes, and each row's first run (with the end)."""
+    """Runs of bytes that aren't ``apart``, never across rows: starts, lengths, 64-bit hashes, and each row's first run (with the end).
+
+    A hash is the sum of a random number for each byte and place, so no structure of the texts makes two runs clash.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
@@ -48,7 +44,9 @@ def runs(data: np.ndarray, bounds: np.ndarray, apart: np.ndarray) -> tuple[np.nd
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, n)))
     place[: starts[0]] = 0
     place[apart] = 0
-    values = TABLE[data] * powers(int(lengths.max()) + 1)[place]
+    values = TABLE.reshape(-1)[(np.minimum(place, PLACES - 1) << 8) + data]
+    if len(far := np.flatnonzero(place >= PLACES)):
+        values[far] = mixed(values[far] ^ mixed(place[far].astype(np.uint64)))
     values[apart] = 0
     return starts, lengths, mixed(np.add.reduceat(values, starts)), np.searchsorted(starts, bounds)
 

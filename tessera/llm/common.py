@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -20,12 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
+    """The folder that driver and executors share, as the session names it; one of our own only for a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    import tempfile
+
+    return _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}")
+
+
+_own: dict[str, str] = {}
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -46,6 +51,35 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of a sieve, at most (32 MB), and bits for each key as long as they suffice.
+SIEVE_BITS, SIEVE_PER_KEY, SIEVE_WORD = 2**28, 16, 32_768
+
+
+def sieve(rows: DataFrame, keys: DataFrame, hashed: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: whether their long ``hashed`` may be among ``keys``' (true for each that is, and for some six in a hundred others).
+
+    A bitmap of hashed keys, of a size that follows their number up to ``SIEVE_BITS``, is broadcast and looked up before anything is
+    shuffled; an equal join is to follow.  With so many keys that the bitmap would let nearly all rows pass, all rows do.
+    """
+    n = keys.count()
+    if n > 2 * SIEVE_BITS:
+        return rows.withColumn(out, F.lit(True))
+    bits = SIEVE_WORD
+    while bits < min(SIEVE_BITS, SIEVE_PER_KEY * n):
+        bits *= 2
+    slot = F.pmod(F.col(hashed), F.lit(bits))
+    words = keys.select((slot / SIEVE_WORD).cast("int").alias("_word"), (slot % SIEVE_WORD).alias("_bit")).groupBy("_word").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    at = slot % SIEVE_WORD
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("_word", (slot / SIEVE_WORD).cast("int")).join(F.broadcast(words), "_word", "left").withColumn(out, hit).drop("_word", "_bits")
+
+
+def sieved(rows: DataFrame, keys: DataFrame, hashed: str = "hashed") -> DataFrame:
+    """The rows that may be among ``keys``."""
+    return sieve(rows, keys, hashed, "_maybe").where("_maybe").drop("_maybe")
+
+
 def whole_text(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
@@ -102,8 +136,3 @@ def by_text(df: DataFrame, work: Callable, schema: str, max_bytes: int = 2_000_0
     return df.mapInArrow(run, schema)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most so many rows of text at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bytewise import STATISTICS, statistics
-from tessera.llm.common import bounded_batches, held_out, in_pieces, text_bytes, whole_text
+from tessera.llm.common import held_out, in_pieces, text_bytes, whole_text
 
 #: Rows that the rules are learnt from, at most.
 MAX_TRAIN = 6000
@@ -62,7 +62,6 @@ def with_statistics(docs: DataFrame, text: str = "text", out: str = "statistics"
     import numpy as np
     from pyspark.sql.functions import arrow_udf
 
-    bounded_batches(docs.sparkSession)
     kind = "struct<" + ",".join(f"{k}:double" for k in STATISTICS) + ">"
 
     @arrow_udf(kind)

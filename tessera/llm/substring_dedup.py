@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, by_text, settle, text_bytes, whole_text
+from tessera.llm.common import by_text, settle, text_bytes, whole_text
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK, MIN_RUN = 16, 5, 256, 96
 SEED, SEED_BYTES = 0x5EED, 32
@@ -120,7 +120,6 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeated passages by document: ``dk, th, spans``; a span has start and size in bytes, and the owner of its first passage."""
-    bounded_batches(docs.sparkSession)
     made = seeds(docs)
     groups = made.groupBy("h").agg(F.count("*").alias("n"), F.min("dk").alias("odk")).where("n > 1").drop("n")
     hits = made.join(groups, "h").where("again or dk != odk")

@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, held_out, in_pieces, settle
+from tessera.llm.common import held_out, in_pieces, settle
 
 MAX_TOXIC, MAX_CLEAN, MAX_FEATURES, WINDOW, MAX_WINDOWS, ROUNDS = 1200, 1800, 4000, 32, 6000, 80
 WORD = re.compile(r"[^\W\d_]+")
@@ -122,7 +122,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     import numpy as np
 
     spark = docs.sparkSession
-    bounded_batches(spark)
     one = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("other")).where("y = other").select("doc_id", "y").where(~held_out())
     pick = lambda y, n: one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = pick(1, max_toxic).union(pick(0, max_clean))  # at most max_toxic + max_clean ids
@@ -309,7 +308,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score, n_tokens, spans`` of whole texts; spans: the offending tokens' offsets in code points, and marginals."""
     import pyarrow as pa
 
-    bounded_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def run(batches):
