@@ -20,6 +20,7 @@ import base64
 import heapq
 import json
 import re
+import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -190,7 +191,7 @@ def words_of(points):
 
 
 class Words:
-    """Ids of the words that a worker has folded, by 64-bit hash."""
+    """Ids of the words that a worker has folded, by word."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: dict[int, int] | None = None):
         import regex
@@ -202,30 +203,41 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[int, int] = {}
+        self.number: dict[str, int] = {}
         self.flat, self.ends = array("i"), array("q", [0])
-        self.by_word: dict[str, list[int]] = {}
+
+    def of(self, word: str) -> int:
+        """The word's number: its ids are ``flat[ends[k] : ends[k + 1]]``."""
+        if (k := self.number.get(word)) is None:
+            self.flat.extend(merge(word.encode("utf-8", "surrogatepass"), self.ranks, self.pairs))
+            k = self.number[word] = len(self.ends) - 1
+            self.ends.append(len(self.flat))
+        return k
 
     def encode(self, texts: list[str]):
         """For each text its ids, as an array."""
         import numpy as np
 
-        if len(self.number) + len(self.by_word) > MAX_WORDS:
+        if len(self.number) > MAX_WORDS:
             self.clear()
         plain = [i for i, t in enumerate(texts) if t and self.fast and not self.odd(t)]
         out: list = [None] * len(texts)
         for i, t in enumerate(texts):
-            if out[i] is None and (not self.fast or (t and self.odd(t))):
-                known, ids = self.by_word, []
-                for w in self.find(t):
-                    if (got := known.get(w)) is None:
-                        got = known[w] = merge(w.encode("utf-8", "surrogatepass"), self.ranks, self.pairs)
-                    ids += got
-                out[i] = np.array(ids, dtype=np.int32)
+            if t and (not self.fast or self.odd(t)):
+                out[i] = self.laid(np.array([self.of(w) for w in self.find(t)], dtype=np.int64))[0]
         for i, ids in zip(plain, self.fold([texts[i] for i in plain]) if plain else (), strict=True):
             out[i] = ids
         return [np.zeros(0, dtype=np.int32) if x is None else x for x in out]
 
+    def laid(self, at):
+        """The ids of the words with the numbers ``at``, one after the other, and where each word's begin."""
+        import numpy as np
+
+        ids, ends = np.frombuffer(self.flat, dtype=np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.ends, dtype=np.int64)
+        n = ends[at + 1] - ends[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return ids[np.repeat(ends[at] - total[:-1], n) + np.arange(total[-1])], total  # a copy: the arrays can go on growing
+
     def fold(self, texts: list[str]):
         import numpy as np
 
@@ -235,48 +247,49 @@ class Words:
         gaps = (np.cumsum(sizes + 1) - 1)[:-1]
         points[gaps] = -1
         starts = words_of(points)
-        power, inverse = _powers(len(points))
-        run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((points + 3).astype(np.uint64) * power[: len(points)])])
         bounds = np.append(starts, len(points))
-        length = np.diff(bounds).astype(np.uint64)
-        hashes = (run[bounds[1:]] - run[bounds[:-1]]) * inverse[starts]
-        hashes ^= hashes >> np.uint64(31)
-        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + length
-        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        number, ranks, pairs, flat, ends = self.number, self.ranks, self.pairs, self.flat, self.ends
-        rows = []
-        for h, f in zip(kinds.tolist(), first.tolist(), strict=True):
-            k = number.get(h)
-            if k is None:
-                a, b = int(bounds[f]), int(bounds[f + 1])
-                if points[a] >= 0:
-                    flat.extend(merge(whole[a:b].encode("utf-8", "surrogatepass"), ranks, pairs))
-                k = number[h] = len(ends) - 1
-                ends.append(len(flat))
-            rows.append(k)
-        ids, ends_ = np.frombuffer(flat, dtype=np.int32) if flat else np.zeros(0, np.int32), np.frombuffer(ends, dtype=np.int64)
-        at = np.array(rows, dtype=np.int64)[which]
-        n = ends_[at + 1] - ends_[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        laid = ids[np.repeat(ends_[at] - total[:-1], n) + np.arange(total[-1])]
-        del ids, ends_  # else the arrays they look into can't grow
+        length = np.diff(bounds)
+        # words that hash alike are compared letter by letter with the first of them
+        place = np.arange(len(points)) - np.repeat(starts, length)
+        hashes = np.add.reduceat(scattered(points, place), starts)
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        model = starts[first][which]
+        same = length[first][which] == length
+        other = np.minimum(np.repeat(model, length) + place, len(points) - 1)
+        same &= np.logical_and.reduceat(points[other] == points, starts)
+        at = np.zeros(len(first), dtype=np.int64)
+        empty = self.of("")
+        for k, f in enumerate(first.tolist()):
+            a, b = int(bounds[f]), int(bounds[f + 1])
+            at[k] = self.of(whole[a:b]) if points[a] >= 0 else empty
+        at = at[which]
+        for f in np.flatnonzero(~same).tolist():
+            at[f] = self.of(whole[int(bounds[f]) : int(bounds[f + 1])]) if points[bounds[f]] >= 0 else empty
+        laid, total = self.laid(at)
         text_at = np.concatenate([[0], np.searchsorted(starts, gaps), [len(starts)]])
         cuts = total[text_at]
         return [laid[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
-_power: list = []
+def scattered(points, place):
+    """A 64-bit number for each code point at each place."""
+    import numpy as np
 
+    h = points.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def _powers(n: int):
-    """Powers of an odd number and of its inverse, modulo 2 to the 64."""
-    import numpy as np
 
-    if not _power or len(_power[0]) < n:
-        base = 0x9E6C63D0876A9A35
-        made = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n + n // 4, np.uint64(b), dtype=np.uint64)])) for b in (base, pow(base, -1, 2**64))]
-        _power[:] = made
-    return _power
+_words: dict[tuple[str, str], Words] = {}
+
+
+def worker_words(ident: str, sent, pattern: str) -> Words:
+    """The words of a Python worker, kept from task to task of one broadcast vocabulary."""
+    if (ident, pattern) not in _words:
+        _words.clear()
+        _words[ident, pattern] = Words(sent.value[0], pattern, sent.value[1])
+    return _words[ident, pattern]
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -287,9 +300,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"no token for the bytes {missing[:5]}")
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pairs_of(ranks)))  # follows the vocabulary's size, not the data's
+    ident = uuid.uuid4().hex
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        words = Words(sent.value[0], pattern, sent.value[1])
+        words = worker_words(ident, sent, pattern)
         for piece in in_pieces(batches, max_bytes=2_000_000):
             ids = words.encode(piece.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
@@ -335,15 +349,3 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def in_large_tasks(docs: DataFrame, megabytes: int = 80) -> DataFrame:
-    """``docs`` in fewer partitions of about so many MB of input, a multiple of the cores: a task folds each of its words once."""
-    spark = docs.sparkSession
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    of = {"b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
-    number, unit = re.fullmatch(r"(\d+)([a-z]*)", size.strip().lower()).groups()
-    here, cores = docs.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    want = here * int(number) * of[unit or "b"] / (megabytes * 2**20)
-    n = max(1, round(want / cores)) * cores
-    return docs.coalesce(n) if n < here else docs

@@ -1,27 +1,36 @@
 """Mixing sources to target weights by proportionate-fair (Pfair) scheduling.
 
-Each source is cut into blocks of ``block_rows`` rows in a hashed order.  With weight w, its j-th block (from 0) is released at slot
-floor(j / w) and due before slot ceil((j + 1) / w); earliest-deadline-first over one slot at a time keeps every source within one block
-of w times the elapsed slots for as long as it has blocks.  Weights are rounded to multiples of 1/Q, so the schedule repeats every Q
-slots: the driver plans one period, of a size that follows the number of sources and not the data, and block j of a source with q slots
-a period takes slot (j div q) * Q + slots[j mod q].  A slot whose source has run out stays empty, so every row is kept.
+Each source is cut into blocks of ``block_rows`` rows in a hashed order, and a block is dealt in two halves, one a slot.  Slots come in
+periods of Q.  In a period, a source with n of its Q slots has its j-th half (from 0) released at slot floor(j Q / n) and due before slot
+ceil((j + 1) Q / n); earliest-deadline-first over one slot at a time keeps it within one half of n / Q times the elapsed slots.
 
-No task holds a whole source: rows are ranked within (source, hash range), and ranges are offset by counted prefix sums.
+A target weight isn't rounded: the slots up to the end of period p are the exact weights' cumulative sums, rounded
+(``Schedule.upto``), so a period has now one slot more, now one less, and at a period's ends a source is at most one half away from its
+target.  Both together: it is less than two halves, one block, away from weight times elapsed slots at any slot, in the first period and in
+the millionth, for as long as it has blocks.  A slot whose source has run out stays empty, so every row is kept.
 
-Edge cases: a null source is a source of its own.  Null ids are kept and ordered first in their hash range.  Repeated rows are kept, each
-at its own place.  Texts aren't looked at.  An empty table gives no rows.  Extra columns pass through ``mix`` whatever their names.
+A row's slot follows from its source and its half alone, so tasks plan the periods that their rows fall into, each on its own; the driver
+has a row for each source, ``MAX_SOURCES`` at most.  No task holds a whole source: rows are ranked within (source, hash range), and ranges
+are offset by counted prefix sums.
+
+Edge cases: a null source is a source of its own, and shares ``""`` with empty ones.  Null ids are kept; equal ids and repeated rows are
+kept, each at its own place (in no fixed order among themselves).  Texts aren't looked at.  An empty table gives no rows.  Extra columns
+pass through ``mix``; where one is called like a column made here, those made begin with one more underscore (``made_names``).
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A plan for at most so many sources is broadcast (some 100 bytes a slot).
-BROADCAST_SOURCES = 1000
+#: More sources, and weights under one in so many, aren't scheduled (``ValueError``).
+MAX_SOURCES, LEAST_WEIGHT = 50_000, 1_000_000
 MADE = ("mix_slot", "mix_block", "mix_release", "mix_deadline", "mix_in_block")
 
 
@@ -45,46 +54,103 @@ def period(shares: Mapping[str, int]) -> dict[str, list[tuple[int, int, int]]]:
     return plan
 
 
-def shares_of(weights: Mapping[str, float], q: int) -> dict[str, int]:
-    """Whole slots that add up to q, at least one for each positive weight, by largest remainder."""
-    positive = {k: w for k, w in weights.items() if w > 0}
-    total = sum(positive.values())
-    exact = {k: w / total * q for k, w in positive.items()}
-    got = {k: max(1, int(x)) for k, x in exact.items()}
-    order = sorted(positive, key=lambda k: (-(exact[k] - int(exact[k])), k))
-    i = 0
-    while (left := q - sum(got.values())) != 0:
-        k = order[i % len(order)]
-        if left > 0:
-            got[k] += 1
-        elif got[max(got, key=lambda n: (got[n], n))] > 1:
-            got[max(got, key=lambda n: (got[n], n))] -= 1
-        i += 1
-    return got
+class Schedule:
+    """The periods of exact target weights.  Equal arguments plan equal slots, wherever it is done."""
+
+    def __init__(self, weights: tuple[tuple[str, Fraction], ...], slots_per_source: int = 64):
+        total = sum(w for _, w in weights)
+        self.names = [k for k, _ in weights]
+        self.index = {k: i for i, k in enumerate(self.names)}
+        least = min(w for _, w in weights) / total
+        if least * LEAST_WEIGHT < 1:
+            raise ValueError(f"a weight under one in {LEAST_WEIGHT}: {float(least)}")
+        # so many slots that no source's cumulative share goes back from one period to the next
+        self.q = 1 << max(6, (max(len(weights) * slots_per_source, -(-2 * least.denominator // least.numerator)) - 1).bit_length())
+        self.sums, at = [Fraction(0)], Fraction(0)
+        for _, w in weights:
+            at += w / total
+            self.sums.append(at)
+
+    def upto(self, p: int) -> list[int]:
+        """Each source's slots in the periods before ``p``: neighbours' differences of the rounded sums, which add up to p Q."""
+        marks = [(2 * c.numerator * self.q * p + c.denominator) // (2 * c.denominator) for c in self.sums]
+        return [b - a for a, b in zip(marks, marks[1:], strict=False)]
+
+    def before(self, i: int, p: int) -> int:
+        low, high = self.sums[i], self.sums[i + 1]
+        return (2 * high.numerator * self.q * p + high.denominator) // (2 * high.denominator) - (2 * low.numerator * self.q * p + low.denominator) // (2 * low.denominator)
+
+    def period_of(self, i: int, half: int) -> int:
+        """The period in which the source's ``half`` falls."""
+        w = self.sums[i + 1] - self.sums[i]
+        p = max(0, int(Fraction(half) / (w * self.q)) - 2)
+        while self.before(i, p + 1) <= half:
+            p += 1
+        return p
+
+    @lru_cache(maxsize=512)  # noqa: B019  a schedule lives as long as its worker
+    def plan(self, p: int) -> tuple[list[int], dict[str, list[tuple[int, int, int]]]]:
+        """Halves before the period by source, and the period's (slot, release, deadline) by name, counted from its start."""
+        first, then = self.upto(p), self.upto(p + 1)
+        return first, period({k: b - a for k, a, b in zip(self.names, first, then, strict=True)})
+
+    def place(self, name: str, half: int) -> tuple[int, int, int]:
+        i = self.index[name]
+        p = self.period_of(i, half)
+        first, times = self.plan(p)
+        return tuple(p * self.q + x for x in times[name][half - first[i]])
+
+
+@lru_cache(maxsize=4)
+def schedule(weights: tuple[tuple[str, Fraction], ...], slots_per_source: int) -> Schedule:
+    return Schedule(weights, slots_per_source)
+
+
+def exact(weights: Mapping[str, float]) -> tuple[tuple[str, Fraction], ...]:
+    return tuple((k, Fraction(w)) for k, w in sorted(weights.items()))
+
+
+def made_names(columns: list[str]) -> list[str]:
+    """What ``mix`` calls its columns beside these: ``MADE``, with as many underscores before them as make them differ from all."""
+    names = list(MADE)
+    while {n.lower() for n in names} & {c.lower() for c in columns}:
+        names = [f"_{n}" for n in names]
+    return names
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = 64, temperature: float = 0.7, slots_per_source: int = 64, rows_per_range: int = 4096, seed: int = 17) -> DataFrame:
     """``docs`` with ``mix_slot, mix_block, mix_release, mix_deadline, mix_in_block``; sorting by (mix_slot, mix_in_block) gives the mixture.
 
     ``weights``: target weight by source name ("" for null); without it, sizes to the power ``temperature``.  A source that has no weight
-    is a ``ValueError``: no rows are dropped without a word.
+    is a ``ValueError``: no rows are dropped without a word.  mix_block: the half block's number in its source; mix_in_block: the row's in it.
     """
+    names = made_names(docs.columns)
     source = F.coalesce(F.col("source"), F.lit(""))
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    kept = [c for c in docs.columns if c not in MADE]
-    rows = docs.select(source.alias("source"), key.alias("key"), F.col("doc_id").alias("id"), F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"))
-    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("source")).agg(F.count("*")).collect()}  # a row for each source
+    rows = docs.select(source.alias("source"), key.alias("key"), F.col("doc_id").alias("id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("source")).agg(F.count("*")).limit(MAX_SOURCES + 1).collect()}  # a row for each source
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     if not sizes:
-        return rows.select("doc.*", *(F.lit(0).cast("long").alias(c) for c in MADE))
+        return rows.select("doc.*", *(F.lit(0).cast("long").alias(c) for c in names))
     weights = {k: n**temperature for k, n in sizes.items()} if weights is None else dict(weights)
     if missing := sorted(set(sizes) - {k for k, w in weights.items() if w > 0}):
         raise ValueError(f"sources without a positive weight: {missing[:5]}")
-    q = 1 << max(6, (len(sizes) * slots_per_source - 1).bit_length())
-    plan = period(shares_of({k: weights[k] for k in sizes}, q))
-    spark = docs.sparkSession
-    hint = F.broadcast if len(sizes) <= BROADCAST_SOURCES else (lambda x: x)
-    sized = hint(spark.createDataFrame([(k, max(1, -(-n // rows_per_range)), len(plan[k])) for k, n in sizes.items()], "source string, ranges long, q long"))
-    slots = hint(spark.createDataFrame([(k, j, *x) for k, times in plan.items() for j, x in enumerate(times)], "source string, j long, slot long, release long, deadline long"))
+    targets = exact({k: weights[k] for k in sizes})
+    schedule(targets, slots_per_source)  # unfit weights are told here, not in a task
+    spark, half_rows = docs.sparkSession, max(1, block_rows // 2)
+    sent = spark.sparkContext.broadcast(targets)  # a number for each source
+    sized = F.broadcast(spark.createDataFrame([(k, max(1, -(-n // rows_per_range))) for k, n in sizes.items()], "source string, ranges long"))
+
+    @F.pandas_udf("slot long, release long, deadline long")
+    def placed(names: pd.Series, halves: pd.Series) -> pd.DataFrame:
+        plan, seen = schedule(sent.value, slots_per_source), {}
+        out = []
+        for at in zip(names.tolist(), halves.tolist(), strict=True):
+            if at not in seen:
+                seen[at] = plan.place(*at)
+            out.append(seen[at])
+        return pd.DataFrame(out, columns=["slot", "release", "deadline"])
 
     # a source of n rows has ceil(n / rows_per_range) hash ranges; ranks go on from one range to the next
     ranged = lambda df: df.join(sized, "source").withColumn("range", F.pmod(F.shiftrightunsigned("key", 33), F.col("ranges")))
@@ -92,7 +158,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     before = per.select("source", "range", (F.sum("n").over(Window.partitionBy("source").orderBy("range")) - F.col("n")).alias("before"))
     inside = F.row_number().over(Window.partitionBy("source", "range").orderBy("key", "id")) - 1
     numbered = ranged(rows).withColumn("rank", inside).join(before, ["source", "range"]).withColumn("rank", F.col("rank") + F.col("before"))
-    placed = numbered.withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("j", F.pmod("block", "q")).join(slots, ["source", "j"])
-    shift = F.floor(F.col("block") / F.col("q")) * q
-    made = (shift + F.col("slot"), F.col("block"), shift + F.col("release"), shift + F.col("deadline"), F.pmod(F.col("rank"), F.lit(block_rows)))
-    return placed.select("doc.*", *(x.cast("long").alias(c) for c, x in zip(MADE, made, strict=True)))
+    half = F.floor(F.col("rank") / half_rows)
+    made = numbered.withColumn("half", half).withColumn("at", placed("source", "half"))
+    shown = (F.col("at.slot"), F.col("half"), F.col("at.release"), F.col("at.deadline"), F.pmod(F.col("rank"), F.lit(half_rows)))
+    return made.select("doc.*", *(x.cast("long").alias(c) for c, x in zip(names, shown, strict=True)))

@@ -77,10 +77,44 @@ def test_period_keeps_windows_and_lag(shares):
             done += t in at
 
 
-def test_shares_add_up():
-    for w in ({"a": 0.999, "b": 0.0001}, {"a": 1, "b": 1, "c": 1}, {str(i): i + 1 for i in range(50)}):
-        got = mixing.shares_of(w, 256)
-        assert sum(got.values()) == 256 and min(got.values()) >= 1
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1.37, "c": 0.001}, {"a": 1, "b": 1, "c": 1}, {str(i): (i + 1) ** 0.7 for i in range(50)}, {"a": 3**0.5}])
+def test_a_source_stays_within_a_block_of_its_target(weights):
+    """Blocks done against the exact weight times slots, slot by slot, over many periods."""
+    plan = mixing.Schedule(mixing.exact(weights))
+    total = sum(weights.values())
+    done = dict.fromkeys(weights, 0)
+    at_ends = [p for p in range(30)] + [10**6, 10**6 + 1, 10**9]
+    for p in at_ends:
+        first, times = plan.plan(p)
+        assert sum(first) == plan.q * p and sorted(s for x in times.values() for s, _, _ in x) == list(range(plan.q))
+        by_slot = {s: k for k, x in times.items() for s, _, _ in x}
+        done = dict(zip(plan.names, first, strict=True))
+        assert all(r <= s < d for x in times.values() for s, r, d in x)
+        for slot in range(plan.q):
+            t = plan.q * p + slot
+            assert all(abs(done[k] - w * t / total) < 2 for k, w in weights.items())  # two halves are a block
+            done[by_slot[slot]] += 1
+    for k in weights:
+        first, times = plan.plan(7)
+        assert [plan.place(k, first[plan.index[k]] + j) for j in range(len(times[k]))] == [tuple(7 * plan.q + x for x in t) for t in times[k]]
+
+
+def test_mix_against_one_long_schedule(spark):
+    """Every row's slot against a plain run of all slots, one after the other."""
+    rows = [(i, "ab"[i % 3 > 0]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"a": 1.0, "b": 2.3}
+    got = mixing.mix(docs, weights, block_rows=4, rows_per_range=50, slots_per_source=8).collect()
+    plan, want = mixing.Schedule(mixing.exact(weights), 8), {}
+    for p in range(40):
+        first, times = plan.plan(p)
+        for k, x in times.items():
+            for j, (s, r, d) in enumerate(x):
+                want[k, first[plan.index[k]] + j] = (p * plan.q + s, p * plan.q + r, p * plan.q + d)
+    assert len(got) == len(rows) and all(want[r["source"], r["mix_block"]] == (r["mix_slot"], r["mix_release"], r["mix_deadline"]) for r in got)
+    for k in "ab":
+        places = sorted((r["mix_block"], r["mix_in_block"]) for r in got if r["source"] == k)
+        assert places == [(i // 2, i % 2) for i in range(len(places))]
 
 
 def test_mix_is_whole_and_in_windows(spark, sf):
@@ -101,8 +135,14 @@ def test_mix_edges(odd, none):
     got = mixing.mix(odd)
     assert got.columns[: len(odd.columns)] == odd.columns and got.count() == len(ODD)
     assert mixing.mix(none).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mix(odd, {"a": 1.0})
+    by = {(r["doc_id"], r["text"]): (r["mix_slot"], r["mix_in_block"]) for r in got.collect()}
+    assert len(set(by.values())) == len(by) == len(ODD) - 1 and len({(r["mix_slot"], r["mix_in_block"]) for r in got.collect()}) == len(ODD)
+    assert mixing.mix(odd, {"": 1, "a": 2, "b": 3, "c": 4}).where("source is null").count() == 2
+    for bad in ({"a": 1.0}, {"": 1, "a": 1e-9, "b": 1, "c": 1}):
+        with pytest.raises(ValueError):
+            mixing.mix(odd, bad)
+    again = mixing.mix(got)
+    assert again.columns == [*got.columns, *(f"_{c}" for c in mixing.MADE)] and again.count() == len(ODD)
 
 
 # -- 2 substring dedup -----------------------------------------------------------------------------------------------------------------
@@ -479,6 +519,37 @@ def test_words_are_cut_and_merged_as_the_library_does(vocabulary):
     assert byte_bpe.merge_long(word, ranks) == byte_bpe.merge(word, ranks, other.pairs)
 
 
+def test_words_that_hash_alike_keep_their_own_ids(vocabulary, monkeypatch):
+    import numpy as np
+
+    ranks, pattern, library = vocabulary
+
+    def thue_morse(n, x, y):
+        return x if n == 0 else thue_morse(n - 1, x, y) + thue_morse(n - 1, y, x)
+
+    a, b = thue_morse(10, "a", "b"), thue_morse(10, "b", "a")
+    texts = [a, b, f"{a} {b} {a}", "one two one two three", "x", ""]
+    words = byte_bpe.Words(ranks, pattern)
+    assert [x.tolist() for x in words.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "scattered", lambda points, place: np.zeros(len(points), dtype=np.uint64))  # all words clash
+    words = byte_bpe.Words(ranks, pattern)
+    assert [x.tolist() for x in words.encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_hashes_of_words_follow_no_structure():
+    import numpy as np
+
+    from tessera.llm import bytewise
+
+    def thue_morse(n, x, y):
+        return x if n == 0 else thue_morse(n - 1, x, y) + thue_morse(n - 1, y, x)
+
+    a, b = thue_morse(11, b"a", b"b"), thue_morse(11, b"b", b"a")
+    data = np.frombuffer(b" ".join([a, b, a, b"ab", b"ba", b"ab"]), dtype=np.uint8)
+    _, lengths, hashes, _ = bytewise.words(data, np.array([0, len(data)]))
+    assert lengths.tolist() == [2048] * 3 + [2] * 3 and hashes[0] == hashes[2] and hashes[3] == hashes[5] and len(set(hashes.tolist())) == 4
+
+
 def test_the_fold_in_higher_order_functions_agrees(spark, small, vocabulary):
     ranks, pattern, library = vocabulary
     import regex
