@@ -28,7 +28,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the mixture: row groups and files follow its slots."""
-    return mixing.mix(docs).orderBy("mix_slot", "mix_in_block").select(*(f"`{c}`" for c in docs.columns))
+    slot, *_, in_block = mixing.made_names(docs.columns)
+    return mixing.mix(docs).orderBy(slot, in_block).select(*(f"`{c}`" for c in docs.columns))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
