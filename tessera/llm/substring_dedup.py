@@ -10,11 +10,16 @@ from ``MIN_RUN`` bytes on.  Passages that touch are joined; ``cut`` removes them
 A seed is extended along its owner's first place of it only.  A passage is missed where each of its seeds also stands, in other
 surroundings, in a document before the passage's or earlier in it.
 
-Skew: digests are counted with map-side combining before anything is joined, and the join back is one that Spark splits by itself.
-
-Edge cases: a null text is empty; texts under ``MIN_RUN`` bytes have no seeds.  Rows with a null id count as one document before all others.  Rows with the
-same id and text are one document; rows with the same id and different texts aren't compared with each other.  Texts of any length are
-read whole.  Cuts fall between code points.  An empty table gives no rows.  Extra columns pass through ``cut``.
+What moves: seeds are settled once and counted with map-side combining; a bitmap of the repeated ones keeps the others out of the join.
+A text whose bytes are those of an earlier document is one passage by its digest and has no seeds.  Seeds of one passage are at most
+``MIN_RUN - SEED_BYTES + 1`` bytes apart, so the stretches that such seeds mark (with ``MIN_RUN`` bytes on either side) hold every
+passage whole: only these stretches, and the texts of their owners, are shuffled.  Stretches meet their owner's text in a sorted stream,
+and an owner of many is dealt to several tasks, as its stretches are.
+
+Edge cases: a null text is empty; texts under ``MIN_RUN`` bytes have no seeds and stay.  Rows with a null id, or one that is no number,
+count as one document before all others.  Rows with the same id and text are one document; rows with the same id and different texts
+aren't compared with each other.  Texts of any length are read whole.  Cuts fall between code points.  An empty table gives no rows.
+Extra columns pass through ``cut``, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_text, settle, text_bytes, whole_text
+from tessera.llm.common import by_text, settle, sieve, sieved, text_bytes, text_key, whole_text
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK, MIN_RUN = 16, 5, 256, 96
 SEED, SEED_BYTES = 0x5EED, 32
 NO_ID = -(2**63)
+#: An owner's text is sent once for about so many stretches.
+DEALT = 1000
 
 
 def gear_table():
@@ -88,12 +95,16 @@ def anchors(data, table=None):
     return at[np.append(True, at[1:] != at[:-1])]
 
 
+def number(column: str = "doc_id"):
+    return F.coalesce(F.expr(f"try_cast(`{column}` as long)"), F.lit(NO_ID))
+
+
 def identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text")).where("text != ''")
+    return docs.select(number().alias("dk"), F.xxhash64(whole_text()).alias("th"), whole_text().alias("text")).where("text != ''")
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """``dk, th, start, again, h``: the seeds of every text; again: the digest has come before in the text."""
+def seeds(rows: DataFrame) -> DataFrame:
+    """``rows(dk, th, text)`` to ``dk, th, start, again, h``: the seeds of every text; again: the digest has come before in the text."""
     import numpy as np
     import xxhash
 
@@ -115,31 +126,72 @@ def seeds(docs: DataFrame) -> DataFrame:
             cols["h"] += digests
         return {k: np.array(v, dtype=bool if k == "again" else np.int32 if k == "start" else np.int64) for k, v in cols.items()}
 
-    return by_text(identified(docs), work, "dk long, th long, start int, again boolean, h long", 1_000_000)
+    return by_text(rows.select("dk", "th", "text"), work, "dk long, th long, start int, again boolean, h long", 1_000_000)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """Repeated passages by document: ``dk, th, spans``; a span has start and size in bytes, and the owner of its first passage."""
-    made = seeds(docs)
-    groups = made.groupBy("h").agg(F.count("*").alias("n"), F.min("dk").alias("odk")).where("n > 1").drop("n")
-    hits = made.join(groups, "h").where("again or dk != odk")
+    rows = identified(docs).withColumn("key", text_key())
+    # whole copies: the first document with the same bytes owns them
+    known = settle(rows.select("key", "dk", "th", F.octet_length("text").alias("size")).distinct())
+    firsts = known.groupBy("key").agg(F.min("dk").alias("odk"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = settle(known.join(firsts, "key").where((F.col("dk") != F.col("odk")) & (F.col("size") >= MIN_RUN)).select("key", "dk", "th", "size", "odk"))
+    told = rows.withColumn("hashed", F.xxhash64("key", "dk"))
+    gone = copies.select(F.xxhash64("key", "dk").alias("hashed"))
+    marked = sieve(told, gone, "hashed", "maybe")
+    alone = marked.where("maybe").join(copies.select("key", "dk"), ["key", "dk"], "left_anti")
+    rows = marked.where("not maybe").select("dk", "th", "text").unionByName(alone.select("dk", "th", "text"))
+    made = settle(seeds(rows))
+    groups = settle(made.groupBy("h").agg(F.count("*").alias("n"), F.min("dk").alias("odk")).where("n > 1").drop("n"))
+    hits = sieved(made.withColumn("hashed", F.col("h")), groups.select(F.col("h").alias("hashed"))).drop("hashed").join(groups, "h").where("again or dk != odk")
     # a repeated row brings each place twice
-    pairs = hits.groupBy("dk", "th", "odk").agg(F.collect_set("start").alias("places"))
-    # dealt by dk alone, so that both joins read one exchange of the texts; an equation of hashes in the join would deal them again
-    texts = identified(docs).repartition(F.col("dk")).groupBy("dk", "th").agg(F.first("text").alias("text"))
-    same = lambda a, b: F.col(a).bitwiseXOR(F.col(b)) == 0
-    both = lambda pairs: pairs.join(texts.withColumnRenamed("th", "of"), "dk").where(same("th", "of"))
-    owners = texts.select(F.col("dk").alias("odk"), F.col("th").alias("oth"), F.col("text").cast("binary").alias("owner_text"))
-    raw = F.col("text").cast("binary")
-    base, end = F.greatest(F.lit(0), F.array_min("places") - MIN_RUN), F.least(F.length(raw), F.array_max("places") + SEED_BYTES + MIN_RUN)
-    near = both(pairs).select("dk", "th", "odk", "places", base.alias("base"), (end < F.length(raw)).alias("more"), F.substring(raw, base + 1, end - base).alias("text"))
-    held = (F.col("dk") != F.col("odk")) | same("th", "oth")
-    # a passage that goes on where the bytes around the seeds end is extended again along the whole text
-    first = settle(extended(near.join(owners, "odk").where(held)))
-    on = both(first.where("places is not null").select("dk", "th", "odk", "oth", "places"))
-    rest = extended(on.select("dk", "th", "odk", "places", F.lit(0).alias("base"), F.lit(False).alias("more"), raw.alias("text"), F.col("oth").alias("in")).join(owners, "odk").where(same("in", "oth")))
-    found = first.where("places is null").union(rest).select("dk", "th", "start", "size", F.col("odk").alias("owner"))
-    return joined(found.groupBy("dk", "th").agg(F.collect_list(F.struct("start", "size", "owner")).alias("hits")))
+    by_doc = settle(hits.groupBy("dk", "th").agg(F.array_sort(F.collect_set(F.struct("start", "odk"))).alias("hits")))
+    identity = lambda *c: F.xxhash64(*c).alias("hashed")
+    plain = identified(docs)
+    texts = sieved(plain.withColumn("hashed", identity("dk", "th")), by_doc.select(identity("dk", "th"))).groupBy("dk", "th").agg(F.first("text").alias("text"))
+    near = settle(stretches(by_doc.join(texts, ["dk", "th"])))
+    counts = near.groupBy("odk").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
+    counts = settle(counts)
+    owners = sieved(plain.withColumn("hashed", identity("dk")), counts.select(identity("odk"))).drop("hashed").join(counts, F.col("dk") == F.col("odk"))
+    none = lambda kind: F.lit(None).cast(kind)
+    sent = owners.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("odk", "part", F.lit(0).alias("kind"), "dk", "th", F.col("text").cast("binary").alias("text"), none("int").alias("base"), none("array<int>").alias("places"))
+    part = F.pmod(F.xxhash64("dk", "th", "base"), F.col("parts")).cast("int")
+    asked = near.join(counts, "odk").select("odk", part.alias("part"), F.lit(1).alias("kind"), "dk", "th", "text", "base", "places")
+    found = extended(sent.unionByName(asked))
+    whole = copies.select("dk", "th", F.lit(0).alias("start"), "size", F.col("odk").alias("owner"))
+    return joined(found.unionByName(whole).groupBy("dk", "th").agg(F.collect_list(F.struct("start", "size", "owner")).alias("hits")))
+
+
+def stretches(both: DataFrame) -> DataFrame:
+    """``both(dk, th, hits, text)`` to ``dk, th, odk, base, places, text``: for each owner of a seed in a stretch, the stretch's bytes from ``base`` on."""
+    import pyarrow as pa
+
+    out = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("odk", pa.int64()), ("base", pa.int32()), ("places", pa.list_(pa.int32())), ("text", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            rows, size = [], 0
+            for dk, th, hits, text in zip(*(batch.column(c).to_pylist() for c in ("dk", "th", "hits", "text")), strict=True):
+                raw, at = text.encode("utf-8", "surrogatepass"), 0
+                while at < len(hits):
+                    end = at + 1
+                    while end < len(hits) and hits[end]["start"] - hits[end - 1]["start"] <= MIN_RUN - SEED_BYTES + 1:
+                        end += 1
+                    base = max(0, hits[at]["start"] - MIN_RUN)
+                    piece = raw[base : hits[end - 1]["start"] + SEED_BYTES + MIN_RUN]
+                    owners: dict[int, list[int]] = {}
+                    for x in hits[at:end]:
+                        owners.setdefault(x["odk"], []).append(x["start"])
+                    for odk, places in owners.items():
+                        rows.append({"dk": dk, "th": th, "odk": odk, "base": base, "places": places, "text": piece})
+                        size += len(piece)
+                    at = end
+                if size > 4_000_000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=out)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    return both.select("dk", "th", "hits", "text").mapInArrow(run, "dk long, th long, odk long, base int, places array<int>, text binary")
 
 
 def alike(a, b) -> int:
@@ -160,13 +212,10 @@ def starts_in(text: bytes, owner: bytes, places: list[int], base: int | None) ->
     return [(p, at) for p, at in found if at >= 0 and (base is None or at < p + base)]
 
 
-def grown(text, owner, places: list[tuple[int, int]], before: bool = False, after: bool = False) -> tuple[list[tuple[int, int]], bool]:
-    """Passages of at least ``MIN_RUN`` bytes, as (start, end), that the places (start, start in the owner) grow to.
-
-    Also whether one reaches the start or the end of ``text`` where there are bytes before or after it.
-    """
+def grown(text, owner, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Passages of at least ``MIN_RUN`` bytes, as (start, end), that the places (start, start in the owner) grow to."""
     along: dict[int, int] = {}
-    out, head, tail, cut_off = [], 0, 0, False
+    out, head, tail = [], 0, 0
     for s, o in sorted(places):
         # on the same line as a passage, or so deep in one that what leads out of it has an anchor nearer to its end
         if s < along.get(s - o, -1) or (head + MIN_RUN <= s and s + SEED_BYTES + MIN_RUN <= tail):
@@ -174,7 +223,6 @@ def grown(text, owner, places: list[tuple[int, int]], before: bool = False, afte
         left, right = alike(text[:s][::-1], owner[:o][::-1]), alike(text[s:], owner[o:])
         along[s - o] = s + right
         a, b = s - left, s + right
-        cut_off |= (before and a == 0) or (after and b == len(text))
         if b - a >= MIN_RUN and b > tail:
             head, tail = a, b
         while a < b and text[a] & 0xC0 == 0x80:
@@ -183,31 +231,36 @@ def grown(text, owner, places: list[tuple[int, int]], before: bool = False, afte
             b -= 1
         if b - a >= MIN_RUN:
             out.append((a, b))
-    return out, cut_off
+    return out
 
 
 def extended(both: DataFrame) -> DataFrame:
-    """``dk, th, odk, oth, start, size, places``: the passages that a text, from ``base`` on, shares with one owner.
-
-    Where a passage reaches an end of the bytes given that isn't the text's end (``more``: of the right one), the pair has one row with its
-    places instead.
-    """
+    """Owners' texts (kind 0) and stretches (kind 1), told apart by ``odk, part``, to ``dk, th, start, size, owner``: the passages shared."""
     import numpy as np
     import pyarrow as pa
 
-    out = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("odk", pa.int64()), ("oth", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("places", pa.list_(pa.int32()))])
+    out = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("owner", pa.int64())])
 
     def run(batches):
+        now, owners = None, {}
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                text, owner, base = np.frombuffer(r["text"], dtype=np.uint8), np.frombuffer(r["owner_text"], dtype=np.uint8), r["base"]
-                key = {k: r[k] for k in ("dk", "th", "odk", "oth")}
-                spans, cut_off = grown(text, owner, starts_in(r["text"], r["owner_text"], [p - base for p in r["places"]], None if r["dk"] != r["odk"] else base), base > 0, r["more"])
-                rows += [{**key, "places": r["places"]}] if cut_off else [{**key, "start": a + base, "size": b - a} for a, b in spans]
+            for at, kind, dk, th, text, base, places in zip(zip(batch.column("odk").to_pylist(), batch.column("part").to_pylist(), strict=True), *(batch.column(c).to_pylist() for c in ("kind", "dk", "th", "text", "base", "places")), strict=True):
+                if at != now:
+                    now, owners = at, {}
+                if kind == 0:
+                    owners[th] = text  # another text of the same id has another hash
+                    continue
+                piece = np.frombuffer(text, dtype=np.uint8)
+                for oth, raw in owners.items():
+                    if dk == at[0] and th != oth:
+                        continue
+                    spans = grown(piece, np.frombuffer(raw, dtype=np.uint8), starts_in(text, raw, [p - base for p in places], base if dk == at[0] else None))
+                    rows += [{"dk": dk, "th": th, "start": a + base, "size": b - a, "owner": at[0]} for a, b in spans]
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return both.select("dk", "th", "odk", "oth", "places", "base", "more", "text", "owner_text").mapInArrow(run, "dk long, th long, odk long, oth long, start int, size int, places array<int>")
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "odk", "part").sortWithinPartitions("odk", "part", "kind").mapInArrow(run, "dk long, th long, start int, size int, owner long")
 
 
 def joined(hits: DataFrame) -> DataFrame:
@@ -241,9 +294,12 @@ def passages(docs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """``docs`` without its repeated passages, with the same columns; ``n_chars``, if there is one, follows a text that was cut."""
-    spans = repeats(docs)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(whole_text()).alias("th"))
-    found = rows.join(spans, ["dk", "th"], "left")
+    spans = settle(repeats(docs))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), number().alias("dk"), F.xxhash64(whole_text()).alias("th"))
+    # texts without a passage aren't shuffled
+    told = sieve(rows.withColumn("hashed", F.xxhash64("dk", "th")), spans.select(F.xxhash64("dk", "th").alias("hashed")), "hashed", "maybe")
+    found = told.where("maybe").select("doc", "dk", "th").join(spans, ["dk", "th"], "left").select("doc", "spans")
+    found = found.unionByName(told.where("not maybe").select("doc", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     raw = F.col("doc.text").cast("binary")
     edge = lambda i: F.when(i < 0, F.lit(0)).otherwise(F.get("spans", i)["start"] + F.get("spans", i)["size"])
     stop = lambda i: F.coalesce(F.get("spans", i)["start"], F.length(raw))

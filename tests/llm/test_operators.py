@@ -218,6 +218,30 @@ def test_short_passages_are_cut_whole(spark):
             assert got[i].startswith(head[:-20]) and got[i].endswith(tail[20:]) and len(head) + len(tail) - 20 <= len(got[i]) <= len(head) + len(tail)
 
 
+def test_passages_against_brute_force(spark, small):
+    """Bytes in a window of MIN_RUN bytes that an earlier document has, or the document itself has earlier."""
+    n = substring_dedup.MIN_RUN
+    rng = random.Random(12)
+    rows = [*small[:90], (500, small[3][1]), (501, "é漢 " + small[5][1][40:] + " end"), (502, " ".join([words(1, 60, 30)[0]] * 3)), (502, "another text of the same id")]
+    shared = words(3, 61, 40)
+    rows += [(600 + k, f"{words(1, 70 + k, 50)[0]} {rng.choice(shared)} {words(1, 90 + k, 20)[0]} {rng.choice(shared)[:150]} {words(1, 110 + k, 20)[0]}") for k in range(20)]
+    got = collections.defaultdict(set)
+    for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["start"], r["start"] + r["size"]))
+    seen, found, all_ = set(), 0, 0
+    for i, text in sorted((r for r in rows if r[1] != "another text of the same id"), key=lambda r: r[0]):
+        raw, own, want = text.encode(), set(), set()
+        for k in range(len(raw) - n + 1):
+            w = raw[k : k + n]
+            if w in seen or w in own:
+                want |= set(range(k, k + n))
+            own.add(w)
+        seen |= own
+        assert got[i] <= want
+        found, all_ = found + len(got[i]), all_ + len(want)
+    assert all_ > 10_000 and found >= 0.995 * all_
+
+
 def test_a_long_run_of_one_byte_is_cut_to_its_first(spark):
     docs = spark.createDataFrame([(1, "a" * 20_000), (2, "b" + "a" * 30_000 + "c")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in substring_dedup.cut(docs).collect()}
