@@ -136,27 +136,29 @@ def repeats(docs: DataFrame) -> DataFrame:
     known = settle(rows.select("key", "dk", "th", F.octet_length("text").alias("size")).distinct())
     firsts = known.groupBy("key").agg(F.min("dk").alias("odk"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = settle(known.join(firsts, "key").where((F.col("dk") != F.col("odk")) & (F.col("size") >= MIN_RUN)).select("key", "dk", "th", "size", "odk"))
-    told = rows.withColumn("hashed", F.xxhash64("key", "dk"))
-    gone = copies.select(F.xxhash64("key", "dk").alias("hashed"))
-    marked = sieve(told, gone, "hashed", "maybe")
-    alone = marked.where("maybe").join(copies.select("key", "dk"), ["key", "dk"], "left_anti")
-    rows = marked.where("not maybe").select("dk", "th", "text").unionByName(alone.select("dk", "th", "text"))
+    # copies go by two bitmaps, without a shuffle of texts: the second brings back what the first takes by mistake, and a few copies
+    # with it, whose seeds only say again what their digests said
+    identity = lambda *c: F.xxhash64(*c).alias("hashed")
+    gone = copies.select(identity("key", "dk"))
+    mistaken = settle(sieved(known.withColumn("hashed", identity("key", "dk")), gone).join(copies.select("key", "dk"), ["key", "dk"], "left_anti").select(identity("key", "dk")))
+    told = sieve(sieve(rows.withColumn("hashed", identity("key", "dk")), gone, "hashed", "copy"), mistaken, "hashed", "back")
+    rows = told.where("not copy or back").select("dk", "th", "text")
     made = settle(seeds(rows))
     groups = settle(made.groupBy("h").agg(F.count("*").alias("n"), F.min("dk").alias("odk")).where("n > 1").drop("n"))
     hits = sieved(made.withColumn("hashed", F.col("h")), groups.select(F.col("h").alias("hashed"))).drop("hashed").join(groups, "h").where("again or dk != odk")
     # a repeated row brings each place twice
     by_doc = settle(hits.groupBy("dk", "th").agg(F.array_sort(F.collect_set(F.struct("start", "odk"))).alias("hits")))
-    identity = lambda *c: F.xxhash64(*c).alias("hashed")
     plain = identified(docs)
     texts = sieved(plain.withColumn("hashed", identity("dk", "th")), by_doc.select(identity("dk", "th"))).groupBy("dk", "th").agg(F.first("text").alias("text"))
     near = settle(stretches(by_doc.join(texts, ["dk", "th"])))
+    # an owner of more than DEALT stretches is dealt to several tasks; such owners are few, and joined by Spark's own choice
     counts = near.groupBy("odk").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("parts"))
-    counts = settle(counts)
-    owners = sieved(plain.withColumn("hashed", identity("dk")), counts.select(identity("odk"))).drop("hashed").join(counts, F.col("dk") == F.col("odk"))
+    wanted, hot = near.select(identity("odk")).distinct(), settle(counts.where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    owners = sieved(plain.withColumn("hashed", identity("dk")), settle(wanted)).select(F.col("dk").alias("odk"), "dk", "th", "text").join(hot, "odk", "left")
     none = lambda kind: F.lit(None).cast(kind)
-    sent = owners.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("odk", "part", F.lit(0).alias("kind"), "dk", "th", F.col("text").cast("binary").alias("text"), none("int").alias("base"), none("array<int>").alias("places"))
-    part = F.pmod(F.xxhash64("dk", "th", "base"), F.col("parts")).cast("int")
-    asked = near.join(counts, "odk").select("odk", part.alias("part"), F.lit(1).alias("kind"), "dk", "th", "text", "base", "places")
+    sent = owners.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).select("odk", "part", F.lit(0).alias("kind"), "dk", "th", F.col("text").cast("binary").alias("text"), none("int").alias("base"), none("array<int>").alias("places"))
+    asked = near.join(hot, "odk", "left").select("odk", F.pmod(F.xxhash64("dk", "th", "base"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "dk", "th", "text", "base", "places")
     found = extended(sent.unionByName(asked))
     whole = copies.select("dk", "th", F.lit(0).alias("start"), "size", F.col("odk").alias("owner"))
     return joined(found.unionByName(whole).groupBy("dk", "th").agg(F.collect_list(F.struct("start", "size", "owner")).alias("hits")))
