@@ -1,21 +1,24 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and word runs.
 
-A text is cut into sections (at blank lines), sections into paragraphs (at line ends), paragraphs into runs of words that end where a
-word's hash says so, so an edit moves no cut but those beside it.  A leaf's digest is that of its words, a node's that of its children's
-digests; the root is the SHA-256 of the whole text, so equal texts and only those have equal roots.  The fingerprint spells the tree out:
-``root:section,section,...`` with a section as ``digest(paragraph.paragraph...)`` and a paragraph as its leaves' digests joined by ``-``.
-
-Two fingerprints with one root stand for equal texts.  ``likeness`` compares subtrees from the top and counts the leaves they share;
-``differing`` follows the branches that differ down to the leaves that were edited.
-
-Edge cases: a null or empty text has one tree without leaves (two such: likeness 1; beside any other text: 0).  Texts of any length are
-taken whole.  Rows with a null id sort first.  Repeated rows are kept: the next document of a row is the next row in (id, text digest)
-order.  With one document only, its next is itself.  An empty table gives no rows.  Extra columns are ignored.
+A text is cut into paragraphs (lines, each with the line end and the blank lines after it), sections (paragraphs up to one with blank lines
+after it) and, within a paragraph, leaves: runs of words that end where a word's hash says so, so an edit moves no cut but those beside
+it.  White space belongs to leaves, so a text is its leaves, joined.  A leaf's digest is that of its bytes, a node's that of its
+children's digests, and the root is the SHA-256 of the sections' digests: equal texts have equal roots, and texts with equal roots are
+equal unless two 64-bit digests clash.  The fingerprint spells the tree out: ``root:section,section,...`` with a section as
+``digest(paragraph.paragraph...)`` and a paragraph as its leaves' digests joined by ``-``.
+
+``likeness`` compares subtrees from the top and counts the leaves they share; ``differing`` gives the leaves of either text that the other
+lacks (or, where leaves only changed places, those places), so every edit is located: white space, moves and deletions as well.
+
+Edge cases: a null or empty text has one tree without leaves (two such: likeness 1; beside any other text: 0); a text of white space has
+one leaf.  Texts of any length are taken whole.  Rows with a null id sort first.  Repeated rows are kept: the next document of a row is the
+next row in (id, text digest) order.  With one document only, its next is itself.  An empty table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from zlib import crc32
 
@@ -23,43 +26,78 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import settle
+
 Tree = tuple[str, list[tuple[str, list[list[str]]]]]
 #: Words end a leaf with one chance in so many.
 MEAN_LEAF = 4
-#: Hashes of so many words are kept while a partition is read.
-MOST_WORDS = 200_000
+#: Hashes of so many words, and trees of paragraphs with so many characters, are kept while a partition is read.
+MOST_WORDS, MOST_CHARS = 200_000, 4_000_000
+#: Sort keys that are drawn for each range.
+DRAWN = 40
+PARAGRAPH = re.compile(r"\s*\S[^\n]*(?:\n(?:[^\S\n]*\n)*(?:[^\S\n]+\Z)?)?")
+TOKEN = re.compile(r"\s*\S+")
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_leaves long, first_edited_leaf long"
 
 
-def tree(text: str, seen: dict | None = None) -> Tree:
-    """The root, and each section's digest with its paragraphs' leaves.  ``seen``: hashes of words, kept from text to text."""
-    seen = {} if seen is None else seen
-    sections: list[list[list[str]]] = [[]]
-    for line in text.split("\n"):
-        words = line.split()
-        if not words:
-            if sections[-1]:
-                sections.append([])
-            continue
-        leaves, run, open_ = [], 0, False
-        for w in words:
-            if (h := seen.get(w)) is None:
-                h = crc32(w.encode("utf-8", "surrogatepass"))
-                h = seen[w] = (h + 1, not (h * 0x85EBCA6B >> 13) % MEAN_LEAF)
-            run = (run * 0x9E3779B1 + h[0]) & 0xFFFFFFFF
-            if open_ := not h[1]:
-                continue
-            leaves.append(f"{run:08x}")
-            run = 0
-        if open_:
-            leaves.append(f"{run:08x}")
-        sections[-1].append(leaves)
-    root = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-    return root, [(_node([_node(p) for p in s]), s) for s in sections if s]
-
-
-def _node(children: list[str]) -> str:
-    return hashlib.blake2b("".join(children).encode(), digest_size=6).hexdigest()
+class Memory:
+    """Which words end a leaf, and paragraphs' digests, as far as they were worked out."""
+
+    def __init__(self):
+        self.ends: dict[str, bool] = {}
+        self.paragraphs: dict[str, tuple[str, list[str], bool]] = {}
+        self.chars = 0
+
+    def paragraph(self, text: str) -> tuple[str, list[str], bool]:
+        """Digest, leaves' digests, and whether the section ends with it."""
+        if (made := self.paragraphs.get(text)) is None:
+            if self.chars > MOST_CHARS:
+                self.paragraphs.clear()
+                self.chars = 0
+            if len(self.ends) > MOST_WORDS:
+                self.ends.clear()
+            leaves = [hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() for x in leaves_of(text, self.ends)]
+            made = self.paragraphs[text] = (_node("p", leaves), leaves, text.count("\n", len(text.rstrip())) > 1)
+            self.chars += len(text)
+        return made
+
+
+def paragraphs_of(text: str) -> list[str]:
+    return PARAGRAPH.findall(text) or ([text] if text else [])
+
+
+def leaves_of(paragraph: str, ends: dict[str, bool] | None = None) -> list[str]:
+    ends = {} if ends is None else ends
+    out, start, at = [], 0, 0
+    for token in TOKEN.findall(paragraph):
+        at += len(token)
+        if (end := ends.get(token)) is None:
+            end = ends[token] = not (crc32(token.strip().encode("utf-8", "surrogatepass")) * 0x85EBCA6B >> 13) % MEAN_LEAF
+        if end:
+            out.append(paragraph[start:at])
+            start = at
+    if not out or paragraph[start:].strip():
+        out.append(paragraph[start:])
+    else:
+        out[-1] += paragraph[start:]
+    return out
+
+
+def tree(text: str, memory: Memory | None = None) -> Tree:
+    """The root, and each section's digest with its paragraphs' leaves."""
+    memory = Memory() if memory is None else memory
+    sections: list[list[tuple[str, list[str]]]] = [[]]
+    for p in paragraphs_of(text):
+        digest, leaves, last = memory.paragraph(p)
+        sections[-1].append((digest, leaves))
+        if last:
+            sections.append([])
+    made = [(_node("s", [d for d, _ in s]), [leaves for _, leaves in s]) for s in sections if s]
+    return hashlib.sha256("".join(["r", *(d for d, _ in made)]).encode()).hexdigest(), made
+
+
+def _node(level: str, children: list[str]) -> str:
+    return hashlib.blake2b("".join([level, *children]).encode(), digest_size=8).hexdigest()
 
 
 def spell(made: Tree) -> str:
@@ -102,21 +140,41 @@ def alike(a: Tree, b: Tree) -> float:
     return min(1.0, 2.0 * shared / total)
 
 
-def differing(a: Tree, b: Tree) -> list[int]:
-    """Places, in reading order, of the leaves of ``b`` that ``a`` lacks; empty for equal texts."""
+def differing(a: Tree, b: Tree) -> tuple[list[int], list[int]]:
+    """Places, in reading order, of the leaves of ``a`` that ``b`` lacks and of those of ``b`` that ``a`` lacks; two empty lists for equal texts.
+
+    Branches with equal digests aren't opened.  Where both have the same leaves, the places at which others stand.
+    """
     (root_a, left), (root_b, right) = a, b
     if root_a == root_b:
-        return []
-    digests, have = {d for d, _ in left}, Counter(x for _, s in left for p in s for x in p)
-    places, at = [], 0
-    for digest, s in right:
-        for p in s:
-            if digest not in digests:
-                for i, x in enumerate(p):
-                    if not have[x]:
-                        places.append(at + i)
-            at += len(p)
-    return places
+        return [], []
+    same = Counter(d for d, _ in left) & Counter(d for d, _ in right)
+    sides = []
+    for tree_ in (left, right):
+        shut, opened, at = Counter(same), [], 0
+        for digest, s in tree_:
+            n = sum(map(len, s))
+            if shut[digest]:
+                shut[digest] -= 1
+            else:
+                opened += zip(range(at, at + n), (x for p in s for x in p), strict=True)
+            at += n
+        sides.append(opened)
+    both = Counter(x for _, x in sides[0]) & Counter(x for _, x in sides[1])
+    out = []
+    for opened in sides:
+        spare, places = Counter(both), []
+        for k, x in opened:
+            if spare[x]:
+                spare[x] -= 1
+            else:
+                places.append(k)
+        out.append(places)
+    if not out[0] and not out[1]:
+        flat = [[x for _, s in t for p in s for x in p] for t in (left, right)]
+        moved = [k for k, (x, y) in enumerate(zip(*flat, strict=False)) if x != y]
+        return moved, list(moved)
+    return out[0], out[1]
 
 
 def edited(text: str, following: str) -> str:
@@ -127,50 +185,50 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``SCHEMA`` for each row of ``docs``, beside its edited text and its next document.
 
-    Rows are dealt by ranges of (id, digest) whose bounds Spark samples; each text is shuffled once.  The first row of each range is
-    dealt to the range before it as well, as its last row's next.
+    Rows are dealt by ranges of (id, digest), whose bounds come from a bounded draw of these keys; each text is shuffled once, and each
+    range is a partition.  The first row of each range is dealt to the range before it as well, as its last row's next.
     """
     import numpy as np
     import pyarrow as pa
 
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # one aggregate of at most n numbers: the bounds of the ranges
-    marks = rows.where("doc_id is not null").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] if n > 1 else [0.5], 20 * n)).first()[0]
-    marks = sorted(set(marks or []))
     low = F.lit(-(2**63)).cast("long")
-    order = F.coalesce(F.col("doc_id"), low)
-    bounds = np.array(marks, dtype=np.int64)
+    # in the order of (id, digest of the text), null ids first
+    key = F.concat(F.when(F.col("doc_id").isNull(), F.lit("")).otherwise(F.lpad(F.hex(F.col("doc_id").bitwiseXOR(low)), 16, "0")), F.lit(" "), F.md5(F.col("text").cast("binary")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key)
+    keys = settle(rows.select("key"))
+    total = keys.count()
+    if not total:
+        return spark.createDataFrame([], SCHEMA)
+    drawn = sorted(r[0] for r in keys.sample(min(1.0, DRAWN * n / total), seed=5).collect())  # some DRAWN * n keys
+    bounds = np.array(sorted({drawn[len(drawn) * i // n] for i in range(1, n)}) if drawn else [], dtype="U49")
 
     @F.pandas_udf("int")
-    def slot(o: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, o.to_numpy(), side="right").astype("int32"))
+    def slot(key: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, key.to_numpy().astype("U49"), side="right").astype("int32"))
 
-    ranged = rows.withColumn("slot", slot(order)).withColumn("digest", F.md5(F.col("text").cast("binary")))
-    heads = ranged.groupBy("slot").agg(F.min(F.struct(order.alias("o"), F.col("digest").alias("d"))).alias("m")).orderBy("slot").select("slot", "m.o", "m.d").collect()  # a row for each range
-    if not heads:
-        return spark.createDataFrame([], SCHEMA)
-    firsts = spark.createDataFrame([(k, o, d, heads[i - 1][0]) for i, (k, o, d) in enumerate(heads)], "slot int, first_o long, first_d string, before int")
+    heads = keys.groupBy(slot("key").alias("slot")).agg(F.min("key").alias("m")).orderBy("slot").collect()  # a row for each range
+    firsts = spark.createDataFrame([(r["slot"], r["m"], heads[i - 1]["slot"]) for i, r in enumerate(heads)], "slot int, first string, before int")
     own = F.struct(F.col("slot").alias("slot"), F.lit(0).alias("kind"))
     other = F.struct(F.col("before").alias("slot"), F.lit(1).alias("kind"))
-    is_first = (order == F.col("first_o")) & (F.col("digest") == F.col("first_d"))
     dealt = (
-        ranged.join(F.broadcast(firsts), "slot").withColumn("to", F.explode(F.when(is_first, F.array(own, other)).otherwise(F.array(own)))).select("to.slot", "to.kind", order.alias("o"), "digest", "doc_id", "text")
-        .repartition(n, "slot").sortWithinPartitions("slot", "kind", "o", "digest")
+        rows.withColumn("slot", slot("key")).join(F.broadcast(firsts), "slot").withColumn("to", F.explode(F.when(F.col("key") == F.col("first"), F.array(own, other)).otherwise(F.array(own))))
+        .select("to.slot", "to.kind", "key", "doc_id", "text").repartitionById(n, F.col("slot")).sortWithinPartitions("slot", "kind", "key")
     )
 
     schema = arrow_schema()
 
     def run(batches):
         out: dict[str, list] = {k.split()[0]: [] for k in SCHEMA.split(", ")}
-        seen: dict = {}
+        memory = Memory()
 
         def emit(doc_id, text, made, following, next_made):
             changed = edited(text, following)
-            after = tree(changed, seen)
-            places = differing(made, after)
-            row = (doc_id, len(text), after[0], spell(made), spell(after), alike(made, after), alike(made, next_made), sum(len(p) for _, s in made[1] for p in s), places[0] if places else None)
+            after = tree(changed, memory)
+            gone, new = differing(made, after)
+            digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+            row = (doc_id, len(text), digest, spell(made), spell(after), alike(made, after), alike(made, next_made), sum(len(p) for _, s in made[1] for p in s), min(new or gone, default=None))
             for values, v in zip(out.values(), row, strict=True):
                 values.append(v)
 
@@ -179,9 +237,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             for slot, kind, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("slot", "kind", "doc_id", "text")), strict=True):
                 if kind and slot == done:
                     continue
-                if len(seen) > MOST_WORDS:
-                    seen.clear()
-                made = tree(text, seen)
+                made = tree(text, memory)
                 if last is not None and last[0] == slot:
                     emit(*last[1:], text, made)
                 last = None if kind else (slot, doc_id, text, made)

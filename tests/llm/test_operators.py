@@ -498,14 +498,48 @@ def test_fingerprints_against_the_contract(spark, sf, small):
         assert r["fingerprint"] == merkle.spell(merkle.tree(text)) and r["edited_fingerprint"] == merkle.spell(merkle.tree(after))
         assert r["near_edited"] == merkle.likeness(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == merkle.likeness(r["fingerprint"], got[small[(k + 1) % len(small)][0]]["fingerprint"])
         assert marks.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+        # likeness by leaves alone, written out plainly
+        leaves = [collections.Counter(x for p in merkle.paragraphs_of(t) for x in merkle.leaves_of(p)) for t in (text, after)]
+        assert text == after or abs(r["near_edited"] - 2 * (leaves[0] & leaves[1]).total() / max(1, sum(c.total() for c in leaves))) < 0.05
+
+
+def test_a_tree_is_the_text_and_its_roots_those_of_its_branches():
+    rng = random.Random(3)
+    texts = ["", " ", "\n", "a", "a\n", " a\n\n b\n  \n", "\n\n x y\n", "a\r\n\r\nb", "x\u2028y\n\x1c\nz", *("".join(rng.choice("ab  \n\té") for _ in range(rng.randrange(80))) for _ in range(500))]
+    roots = {}
+    for t in texts:
+        assert "".join(merkle.paragraphs_of(t)) == t and all("".join(merkle.leaves_of(p)) == p for p in merkle.paragraphs_of(t))
+        root, sections = merkle.tree(t)
+        for digest, s in sections:
+            assert digest == merkle._node("s", [merkle._node("p", p) for p in s])
+        assert root == hashlib.sha256(("r" + "".join(d for d, _ in sections)).encode()).hexdigest()
+        assert roots.setdefault(root, t) == t
+        assert merkle.parse(merkle.spell((root, sections))) == (root, sections)
+    assert len(roots) == len(set(texts))
 
 
 def test_differing_branches_locate_an_edit():
     text = "\n".join(words(12, 2, 40))
-    after = text.replace(text.split()[100], "changed", 1)
-    a, b = merkle.tree(text), merkle.tree(after)
-    assert merkle.differing(a, a) == [] and 1 <= len(merkle.differing(a, b)) <= 2
-    assert merkle.parse(merkle.spell(a)) == a and 0.9 < merkle.alike(a, b) < 1 and merkle.likeness(merkle.spell(merkle.tree("")), merkle.spell(merkle.tree(""))) == 1
+    w = text.split()
+    lines = text.split("\n")
+    a = merkle.tree(text)
+    assert merkle.differing(a, a) == ([], [])
+    edits = {"word": text.replace(w[100], "changed", 1), "blank": text.replace(w[100] + " ", w[100] + "  ", 1), "line end": text + "\n", "blank line": text.replace("\n", "\n\n", 1), "deletion": text.replace(w[100] + " ", "", 1), "lines gone": "\n".join(lines[:3] + lines[4:])}
+    for after in edits.values():
+        gone, new = merkle.differing(a, merkle.tree(after))
+        assert 1 <= len(gone) + len(new) <= 30 and 0.5 < merkle.alike(a, merkle.tree(after)) < 1
+    assert all(len(merkle.differing(a, merkle.tree(edits[k]))[1]) <= 2 for k in ("word", "blank", "line end", "blank line", "deletion"))
+    gone, new = merkle.differing(a, merkle.tree("\n".join([lines[1], lines[0], *lines[2:]])))
+    assert gone == new and gone  # nothing but places changed
+    assert merkle.likeness(merkle.spell(merkle.tree("")), merkle.spell(merkle.tree(""))) == 1 and merkle.likeness(merkle.spell(merkle.tree("")), merkle.spell(a)) == 0
+
+
+def test_fingerprints_of_repeated_ids(spark):
+    rows = [(None, f"text {i % 7}") for i in range(40)] + [(5, f"other {i}") for i in range(40)] + [(5, "same")] * 10 + [(-3, "low"), (2**62, "high")]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    want = collections.Counter((i, hashlib.sha256(merkle.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+    got = collections.Counter((r["doc_id"], r["edited_sha256"]) for r in merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
 
 
 def test_fingerprint_edges(spark, odd, none):
