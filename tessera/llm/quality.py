@@ -5,7 +5,7 @@ a logistic regression with lasso penalty keeps few of them; the kept rules are c
 statistics, which come from whole texts.
 
 Labels: rows of the learning folds only (crc32 of the id as text, mod 5, is not 0), one per id; an id with contradicting labels is left
-out, as is a null label.  ``MAX_TRAIN`` rows are drawn by the ids' hashes.  With no usable label the score is 0.5; with one class, its
+out, as is a null label.  Of several texts under one id, the least in byte order is learnt from.  ``MAX_TRAIN`` rows are drawn by the ids' hashes.  With no usable label the score is 0.5; with one class, its
 share.
 
 Edge cases: a null text is empty; an empty text has statistics of zero and a score like any other.  Null ids are scored.  Repeated rows
@@ -25,7 +25,7 @@ from tessera.llm.common import held_out, in_pieces, text_bytes, whole_text
 
 #: Rows that the rules are learnt from, at most.
 MAX_TRAIN = 6000
-TREES, DEPTH, MIN_LEAF, MAX_RULES = 60, 3, 12, 400
+TREES, DEPTH, MIN_LEAF = 60, 3, 12
 KEEP_AT = 0.3
 
 
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
     import numpy as np
 
     chosen = learning_rows(labels, "quality", max_train)  # at most max_train ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(whole_text()).alias("text"))
     rows = with_statistics(sample).select("doc_id", "y", "statistics.*").toPandas().sort_values("doc_id")
     return learn(rows[STATISTICS].to_numpy(dtype=float), rows["y"].to_numpy(dtype=float)) if len(rows) else Model(0.0, ())
 
@@ -111,7 +111,6 @@ def learn(x, y, seed: int = 3) -> Model:
         if mark not in seen and 0 < made[:, i].sum() < len(y):
             seen.add(mark)
             unique.append(i)
-    unique = unique[:MAX_RULES]
     made, rules = made[:, unique], [rules[i] for i in unique]
     w, b = _lasso(made, y, 0.002)
     live = np.flatnonzero(np.abs(w) > 1e-3)
@@ -184,5 +183,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
 def keep(docs: DataFrame, labels: DataFrame, at: float = KEEP_AT) -> DataFrame:
     """The documents that score ``at`` or more, with the same columns."""
-    scored = score(docs, fit(docs, labels), out="_quality_score")
-    return scored.where(F.col("_quality_score") >= at).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = "quality_score"
+    while out.lower() in {c.lower() for c in docs.columns}:
+        out = f"_{out}"
+    return score(docs, fit(docs, labels), out=out).where(F.col(out) >= at).select(*(F.col(f"`{c}`") for c in docs.columns))

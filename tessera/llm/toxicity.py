@@ -3,13 +3,15 @@
 Features of a token are its lower-cased word and the word's prefixes of 4 to 8 letters, as far as they are in the vocabulary: those that
 mark toxic documents in a bounded sample of labelled rows (by likelihood ratio).  A token of a toxic document is labelled toxic when its
 best feature is one that toxic documents have far more often; other tokens are labelled clean.  The field has two states, transition
-weights and feature weights, learnt on at most ``MAX_WINDOWS`` windows of ``WINDOW`` tokens by its conditional likelihood.  Scoring takes whole texts: between tokens that
-have a feature all steps are alike, so forward and backward messages cross such gaps by a power of one 2 x 2 matrix, and the marginals are
-those of the whole chain.  A document's score is a logistic function of its marginals' sum, their maximum and the text's length, fitted
+weights and feature weights, learnt on all windows of ``WINDOW`` tokens of the sampled documents by its conditional likelihood (equal
+windows, above all those without a feature, are one with a weight).  Scoring takes whole texts: between tokens that have a feature all
+steps are alike, so forward and backward messages cross such gaps by a power of one 2 x 2 matrix, and the marginals are those of the whole
+chain.  A document's score is a logistic function of its marginals' sum, their maximum and the text's length, fitted
 on the sample; spans give the offending tokens' offsets.
 
 Labels: learning folds only, one per id, contradicting and null ones left out; ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` other documents are
-drawn by hash.  With no label of either class the score is the share of toxic labels (0 without labels).
+drawn by hash, and of several texts under one id the least.  The vocabulary has at most ``MAX_FEATURES`` entries, the most telling first: it
+bounds the model, which every task holds, and on the given tables it is reached by prefixes that only say again what words say.  With no label of either class the score is the share of toxic labels (0 without labels).
 
 Edge cases: a null text is empty; a text without words has a score too.  Null ids are scored.  Repeated rows are scored each.  An empty
 table gives no rows.  Extra columns are ignored.
@@ -25,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import held_out, in_pieces, settle
 
-MAX_TOXIC, MAX_CLEAN, MAX_FEATURES, WINDOW, MAX_WINDOWS, ROUNDS = 1200, 1800, 4000, 32, 6000, 80
+MAX_TOXIC, MAX_CLEAN, MAX_FEATURES, WINDOW, ROUNDS = 1200, 1800, 4000, 32, 80
+#: Cells that the arrays of one step may have: places of texts in ``marginals``, windows in ``_learn``.
+CELLS, AT_ONCE = 1_000_000, 20_000
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = range(4, 9)
 MAX_KNOWN = 300_000
@@ -51,7 +55,23 @@ class Model:
 
 
 def marginals(model: Model, rows: list[tuple[int, list[tuple[int, float]]]]):
-    """For each (number of tokens, [(place, emission)]): the probabilities that the listed tokens are toxic, given the whole chain."""
+    """For each (number of tokens, [(place, emission)]): the probabilities that the listed tokens are toxic, given the whole chain.
+
+    Rows with about as many places are worked out together, so that one long text doesn't widen the arrays of all.
+    """
+    out: list = [None] * len(rows)
+    order = sorted(range(len(rows)), key=lambda i: -len(rows[i][1]))
+    at = 0
+    while at < len(order):
+        most = max(1, len(rows[order[at]][1]))
+        some = order[at : at + max(1, CELLS // most)]
+        for i, p in zip(some, _marginals(model, [rows[i] for i in some]), strict=True):
+            out[i] = p
+        at += len(some)
+    return out
+
+
+def _marginals(model: Model, rows: list[tuple[int, list[tuple[int, float]]]]):
     import numpy as np
 
     n = len(rows)
@@ -115,7 +135,16 @@ def document(n_tokens: int, p) -> list[float]:
 
 
 def tokens_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    low = text.lower()
+    if len(low) == len(text):
+        return WORD.findall(low)
+    return [w.lower() for w in WORD.findall(text)]  # letters that lower-casing lengthens: the words stay those of the text
+
+
+def offsets_of(text: str) -> list[tuple[int, int]]:
+    """Where the tokens are, in code points."""
+    low = text.lower()
+    return [m.span() for m in WORD.finditer(low if len(low) == len(text) else text)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
@@ -129,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     if not totals.get(0) or not totals.get(1):
         return Model({}, [], -8.0, [[0.0, 0.0], [0.0, 0.0]], [float(np.log((share + 1e-6) / (1 - share + 1e-6))), 0, 0, 0, 0])
-    sample = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")))
+    sample = settle(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
     sizes = dict(sample.groupBy("y").count().collect())
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n0 or not n1:
@@ -170,12 +199,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clea
     rows = sorted(sample.mapInPandas(cut, "doc_id long, y int, n int, at array<int>, f array<int>, t array<int>").collect(), key=lambda r: r["doc_id"])
     model = _learn(rows, index)
     # the documents' own scores, each class weighted by its share of the labels
-    # many at a time, those with as many hits together
-    rows = sorted(rows, key=lambda r: (len(r["at"]), r["doc_id"]))
-    x, y = [], [r["y"] for r in rows]
-    for k in range(0, len(rows), 400):
-        part = rows[k : k + 400]
-        x += [document(r["n"], p) for r, p in zip(part, marginals(model, [(r["n"], _emissions(model, r)) for r in part]), strict=True)]
+    y = [r["y"] for r in rows]
+    x = [document(r["n"], p) for r, p in zip(rows, marginals(model, [(r["n"], _emissions(model, r)) for r in rows]), strict=True)]
     weight = np.where(np.array(y) == 1, share / n1, (1 - share) / n0) * len(y)
     model.final = [float(v) for v in _logistic(np.array(x), np.array(y, dtype=float), weight)]
     return model
@@ -188,71 +213,84 @@ def _emissions(model: Model, r) -> list[tuple[int, float]]:
     return sorted(by.items())
 
 
+def _windows(rows):
+    """Different windows as (length, ((place, feature, label), ...)), and how many there are of each."""
+    count: dict[tuple, int] = {}
+    for r in rows:
+        live: dict[int, list] = {}
+        for i, f, t in zip(r["at"], r["f"], r["t"], strict=True):
+            live.setdefault(i // WINDOW, []).append((i % WINDOW, f, t))
+        for k in range(-(-r["n"] // WINDOW)):
+            w = (min(WINDOW, r["n"] - k * WINDOW), tuple(live.get(k, ())))
+            count[w] = count.get(w, 0) + 1
+    # windows of about as many tokens with features together
+    order = sorted(count, key=lambda w: (len(w[1]), w))
+    return order, [count[w] for w in order]
+
+
 def _learn(rows, index) -> Model:
-    """Feature weights, bias and moves by conditional likelihood on windows (Adam, full batch)."""
+    """Feature weights, bias and moves by conditional likelihood on all windows (Adam, full batch, ``AT_ONCE`` windows in memory)."""
     import numpy as np
 
-    at, fs, ys, lengths, base, nth = [], [], [], [], 0, 0
-    every = max(1, -(-sum(len({i // WINDOW for i in r["at"]}) for r in rows) // MAX_WINDOWS))
-    for r in rows:
-        live: dict[int, int | None] = {}
-        for i, f, t in zip(r["at"], r["f"], r["t"], strict=True):
-            k = i // WINDOW
-            if k not in live:
-                nth += 1
-                live[k] = None
-            if live[k] is None:
-                if nth % every:
-                    continue
-                live[k] = base
-                base += 1
-                lengths.append(min(WINDOW, r["n"] - k * WINDOW))
-            at.append((live[k], i % WINDOW))
-            fs.append(f)
-            ys.append(t)
-    n = max(1, base)
-    lengths = np.array(lengths or [1])
-    where = np.array(at or np.zeros((0, 2)), dtype=np.int64).reshape(-1, 2)
-    fs = np.array(fs, dtype=np.int64)
-    y = np.zeros((n, WINDOW), dtype=np.int64)
-    if len(where):
-        y[where[:, 0], where[:, 1]] = ys
-    real = np.arange(WINDOW)[None, :] < lengths[:, None]
-    follows = real[:, 1:]
-    have = np.zeros((2, 2))
-    for a in (0, 1):
-        for b in (0, 1):
-            have[a, b] = ((y[:, :-1] == a) & (y[:, 1:] == b) & follows).sum()
-    flat = where[:, 0] * WINDOW + where[:, 1]
+    windows, many = _windows(rows)
+    total = max(1, sum(many))
+    parts = []
+    for a in range(0, len(windows), AT_ONCE):
+        some = windows[a : a + AT_ONCE]
+        flat = np.array([i * WINDOW + p for i, (_, hits) in enumerate(some) for p, _, _ in hits], dtype=np.int64)
+        fs = np.array([f for _, hits in some for _, f, _ in hits], dtype=np.int64)
+        y = np.zeros(len(some) * WINDOW, dtype=np.int64)
+        y[flat] = [t for _, hits in some for _, _, t in hits]
+        y = y.reshape(-1, WINDOW)
+        real = np.arange(WINDOW)[None, :] < np.array([n for n, _ in some])[:, None]
+        weight = np.array(many[a : a + AT_ONCE], dtype=np.float64)
+        follows = real[:, 1:] * weight[:, None]
+        have = np.array([[((y[:, :-1] == p) & (y[:, 1:] == q)).ravel() @ follows.ravel() for q in (0, 1)] for p in (0, 1)])
+        parts.append((flat, fs, y, real, weight, have, real[:, 1:]))
     w = np.concatenate([np.zeros(len(index)), [-3.0], np.zeros(4)])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for k in range(1, ROUNDS + 1):
-        e = np.full(n * WINDOW, w[-5])
-        np.add.at(e, flat, w[fs])
-        e = e.reshape(n, WINDOW)
-        move = np.exp(w[-4:].reshape(2, 2))
-        heat = np.stack([np.ones_like(e), np.exp(np.clip(e, -30, 30))], 2)
-        ahead = np.empty((n, WINDOW, 2))
-        ahead[:, 0] = heat[:, 0]
-        for t in range(1, WINDOW):
-            ahead[:, t] = (ahead[:, t - 1] / ahead[:, t - 1].sum(1, keepdims=True)) @ move * heat[:, t]
-        ahead /= ahead.sum(2, keepdims=True)
-        behind = np.ones((n, WINDOW, 2))
-        for t in range(WINDOW - 2, -1, -1):
-            b = (behind[:, t + 1] * heat[:, t + 1]) @ move.T
-            behind[:, t] = np.where(follows[:, t, None], b / b.sum(1, keepdims=True), 1.0)
-        p = ahead * behind
-        p = (p / p.sum(2, keepdims=True))[:, :, 1]
-        pair = ahead[:, :-1, :, None] * move[None, None] * (heat[:, 1:] * behind[:, 1:])[:, :, None, :]
-        pair /= pair.sum((2, 3), keepdims=True)
-        slope = np.where(real, y - p, 0.0)
-        g = np.concatenate([np.bincount(fs, weights=slope.reshape(-1)[flat], minlength=len(index)), [slope.sum()], (have - (pair * follows[:, :, None, None]).sum((0, 1))).reshape(-1)]) - 1.0 * w
-        g /= n
+        g = -1.0 * w
+        for part in parts:
+            g += _slope(w, len(index), *part)
+        g /= total
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w = w + 0.25 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
     return Model(index, w[:-5].tolist(), float(w[-5]), w[-4:].reshape(2, 2).tolist(), [])
 
 
+def _slope(w, size, flat, fs, y, real, weight, have, follows):
+    """The likelihood's slope over some windows."""
+    import numpy as np
+
+    n = len(y)
+    e = (w[-5] + np.bincount(flat, weights=w[fs], minlength=n * WINDOW)).reshape(n, WINDOW)
+    move = np.exp(w[-4:].reshape(2, 2))
+    heat = np.exp(np.clip(e, -30, 30))
+    # messages as the odds' toxic share; states are (clean, toxic)
+    ahead, behind = np.empty((WINDOW, n)), np.ones((WINDOW, n)) * 0.5
+    ahead[0] = heat[:, 0] / (1 + heat[:, 0])
+    for t in range(1, WINDOW):
+        p = ahead[t - 1]
+        clean, toxic = (1 - p) * move[0, 0] + p * move[1, 0], ((1 - p) * move[0, 1] + p * move[1, 1]) * heat[:, t]
+        ahead[t] = toxic / (clean + toxic)
+    for t in range(WINDOW - 2, -1, -1):
+        q = behind[t + 1]
+        clean, toxic = 1 - q, q * heat[:, t + 1]
+        a, b = clean * move[0, 0] + toxic * move[0, 1], clean * move[1, 0] + toxic * move[1, 1]
+        behind[t] = np.where(follows[:, t], b / (a + b), 0.5)
+    p = ahead * behind
+    p = (p / (p + (1 - ahead) * (1 - behind))).T
+    slope = np.where(real, y - p, 0.0) * weight[:, None]
+    # expected moves
+    left, right = ahead[:-1].T, behind[1:].T
+    hot = heat[:, 1:]
+    pair = [[(1 - left) * move[0, 0] * (1 - right), (1 - left) * move[0, 1] * right * hot], [left * move[1, 0] * (1 - right), left * move[1, 1] * right * hot]]
+    scale = follows * weight[:, None] / (pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1])
+    want = np.array([[(x * scale).sum() for x in row] for row in pair])
+    return np.concatenate([np.bincount(fs, weights=slope.reshape(-1)[flat], minlength=size)[:size], [slope.sum()], (have - want).reshape(-1)])
+
+
 def _logistic(x, y, weight, ridge: float = 1.0):
     import numpy as np
 
@@ -295,11 +333,8 @@ def score_texts(model: Model, texts: list[str]) -> list[tuple[float, int, list,
         bad = [hits[i][0] for i in np.flatnonzero(p > 0.5).tolist()]
         spans = []
         if bad:
-            want, low = set(bad), text.lower()
-            exact = len(low) == len(text)  # else lower-casing moved the letters
-            for i, m in enumerate(WORD.finditer(low if exact else text)):
-                if i in want:
-                    spans.append([m.start(), m.end()])
+            where = offsets_of(text)
+            spans = [list(where[i]) for i in bad]
         out.append((float(1 / (1 + np.exp(-min(30.0, max(-30.0, z))))), n, [float(v) for v in p[p > 0.5]], spans))
     return out
 

@@ -472,6 +472,62 @@ def test_toxic_documents_are_found(spark):
         assert marked <= {"nastyword", "vileword", "scornful"} and bool(marked) == (r["doc_id"] % 5 == 0)
 
 
+def test_spans_of_letters_that_lower_casing_lengthens():
+    model = toxicity.Model({"nasty": 0}, [8.0], -4.0, [[0.0, 0.0], [0.0, 0.0]], [0.0, 0.0, 0.0, 0.0, 0.0])
+    for text in ("İstanbul nasty word", "a İİİ b NASTY", "nasty"):
+        _, n, _, spans = toxicity.score_texts(model, [text])[0]
+        assert n == len(toxicity.offsets_of(text)) and [text[a:b].lower() for a, b in spans] == ["nasty"]
+
+
+def test_one_long_text_widens_nothing():
+    import numpy as np
+
+    model = toxicity.Model({}, [], -2.0, [[0.3, -1.0], [-0.4, 0.8]], [])
+    rows = [(5, [(2, 1.0)])] * 3000 + [(400_000, [(i, 0.5) for i in range(0, 400_000, 2)])]
+    got = toxicity.marginals(model, rows)  # together these would be 3,001 rows of 200,000 places
+    assert len(got[-1]) == 200_000 and np.allclose(got[0], toxicity.marginals(model, rows[:1])[0])
+
+
+def test_the_likelihoods_slope_against_differences():
+    """The learner's slope beside that of the plain likelihood: the score of the labels less the log of the sum over all paths."""
+    import itertools
+
+    import numpy as np
+
+    rows = [{"n": 5, "at": [1, 1, 3], "f": [0, 1, 2], "t": [1, 1, 0]}, {"n": 3, "at": [], "f": [], "t": []}, {"n": 3, "at": [], "f": [], "t": []}, {"n": 4, "at": [0, 3], "f": [1, 1], "t": [1, 1]}]
+    rng = np.random.default_rng(4)
+    w = rng.normal(size=3 + 5) * 0.5
+
+    def likelihood(w):
+        total = 0.0
+        for r in rows:
+            e = np.full(r["n"], w[-5])
+            y = np.zeros(r["n"], dtype=int)
+            for i, f, t in zip(r["at"], r["f"], r["t"], strict=True):
+                e[i] += w[f]
+                y[i] = t
+            score = lambda path: sum(e[i] for i, s in enumerate(path) if s) + sum(w[-4:].reshape(2, 2)[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, B905, E731
+            total += score(y) - np.log(sum(np.exp(score(p)) for p in itertools.product((0, 1), repeat=r["n"])))
+        return total
+
+    windows, many = toxicity._windows(rows)
+    assert sum(many) == 4 and max(many) == 2
+    seen = {}
+    kept = toxicity._slope
+
+    def spy(at, *rest):
+        seen.setdefault("g", kept(w, *rest))
+        return kept(at, *rest)
+
+    toxicity._slope = spy
+    try:
+        toxicity._learn(rows, {"a": 0, "b": 1, "c": 2})
+    finally:
+        toxicity._slope = kept
+    want = [(likelihood(w + d) - likelihood(w - d)) / 2e-5 for d in np.eye(8) * 1e-5]
+    assert np.allclose(seen["g"], want, atol=1e-4)
+
+
 def test_toxicity_edges(spark, odd, none):
     empty = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(odd, empty)
