@@ -5,33 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Keywords and operators that count as a branch, and the starts of lines that don't.
-BRANCH = r"\b(if|elif|else if|for|while|case|when|catch|except|rescue|match|switch|unless|until)\b|&&|\|\|"
-COMMENT = r"^(#|//|\*|/\*|--|\"\"\"|''')"
+#: Words and operators that count as a branch, and the starts of lines that don't count.
+BRANCH = r"\b(if|elif|else if|for|while|case|when|catch|except|rescue|match|switch)\b|&&|\|\||\?\s"
+COMMENT = r"(#|//|\*|/\*|--|\"\"\"|\'\'\')"
+#: White space other than line ends, for Spark's and DuckDB's expressions alike.
+BLANK = r"[ \t\x0b\x0c\x1c-\x1f\x{85}\p{Z}]"
+#: What ends a line.
+LINE_END = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def lines(text: Column) -> Column:
     """Lines as an array; a last line end begins no further line, and the empty text has no lines."""
-    whole = F.regexp_replace(text, "\r\n?", "\n")
+    whole = unified(text)
     cut = F.split(whole, "\n")
     return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.when(whole.endswith("\n"), F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut))
 
 
+def unified(text: Column) -> Column:
+    """The text with one kind of line end."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), LINE_END, "\n")
+
+
 def loc(text: Column) -> Column:
-    """Lines with anything but white space."""
-    return F.size(F.filter(lines(text), lambda x: F.trim(x) != ""))
+    """Lines with anything but white space; one pass over the text."""
+    return F.regexp_count(unified(text), F.lit(f"(?md)^{BLANK}*+[^\\n][^\\n]*+"))
+
+
+def code(text: Column) -> Column:
+    """The text without lines that are comments."""
+    return F.regexp_replace(unified(text), f"(?md)^{BLANK}*+{COMMENT}[^\\n]*+", "")
 
 
 def branches(text: Column) -> Column:
-    """Branch words and operators on lines that aren't comments."""
-    kept = F.filter(lines(text), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(COMMENT))
-    return F.aggregate(F.transform(kept, lambda x: F.size(F.regexp_extract_all(x, F.lit(f"({BRANCH})"), F.lit(1)))), F.lit(0), lambda a, b: a + b)
+    """Branch words and operators on lines that aren't comments; one pass over the text."""
+    inside = BRANCH.replace(r"\?\s", r"\?" + BLANK)  # not the line's own end
+    return F.regexp_count(code(text), F.lit(f"(?U){inside}"))
 
 
 def max_indent(text: Column, deepest: int = 12) -> Column:
-    """Greatest depth of indent, four blanks or a tab each, up to ``deepest``."""
-    depth = lambda x: F.least(F.floor(F.length(F.regexp_replace(F.regexp_extract(x, r"^[ \t]*", 0), "\t", "    ")) / 4), F.lit(deepest))
-    return F.coalesce(F.array_max(F.transform(F.filter(lines(text), lambda x: F.trim(x) != ""), depth)), F.lit(0))
+    """Greatest depth of indent of a line that is neither empty nor a comment: four blanks (or mixed white space) or a tab each, up to ``deepest``."""
+    indents = F.regexp_extract_all(code(text), F.lit(f"(?md)^([ \\t]*+)(?={BLANK}*+[^\\n])"), F.lit(1))
+    depth = lambda x: F.least(F.when(x.contains(" "), F.floor(F.length(x) / 4)).otherwise(F.length(x)), F.lit(deepest)).cast("int")
+    return F.coalesce(F.array_max(F.transform(indents, depth)), F.lit(0))
 
 
 def tokens(name: Column) -> Column:
@@ -62,17 +77,3 @@ def needle(text: str) -> str:
     import re
 
     return r"(?<![\w.])" + re.escape(text) + r"(?![\w]|\.\d)"
-
-
-def decoded(content: Column) -> Column:
-    """Bytes as text, by their byte-order mark; UTF-8 without one."""
-    head = F.hex(F.substring(content, 1, 3))
-    return (
-        F.when(head == "EFBBBF", F.decode(F.substring(content, 4, 2**31 - 5), "UTF-8")).when(head.startswith("FFFE"), F.decode(F.substring(content, 3, 2**31 - 4), "UTF-16LE"))
-        .when(head.startswith("FEFF"), F.decode(F.substring(content, 3, 2**31 - 4), "UTF-16BE")).otherwise(F.decode(content, "UTF-8"))
-    )
-
-
-def is_test_path(path: Column) -> Column:
-    p = F.lower(path)
-    return p.rlike(r"(^|/)(tests?|__tests__|spec|specs|e2e)/") | p.rlike(r"(^|/)test_[^/]*$") | p.rlike(r"[._-](test|spec)\.[a-z0-9]+$") | p.rlike(r"_test\.[a-z0-9]+$")

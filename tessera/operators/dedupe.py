@@ -13,22 +13,20 @@ def identity_path(path):
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
 
 
-def max_multiplicity(findings: DataFrame, report: str = "report", identity: tuple[str, ...] = ("file", "line", "type"), ordinal: str = "ordinal", severity: str = "severity") -> DataFrame:
-    """One report's rows for each identity: of the report with most of them, then with the harshest, then the first.
+def max_multiplicity(findings: DataFrame, report: str = "report", identity: tuple[str, ...] = ("file", "line", "type"), ordinal: str = "ordinal", severity: str = "severity", order: str | None = None) -> DataFrame:
+    """One report's rows for each identity: of the report with most of them, then with the harshest, then the earliest.
 
-    Copies within that report all stay, so the kept count is the largest of any one report, neither one nor the sum.  ``first_seen`` orders
-    identities by first appearance.
+    Copies within that report all stay, so the kept count is the largest of any one report, neither one nor the sum.  ``order``: a
+    column by which reports come one after the other (their names without it).  ``first_seen``: the (order, ordinal) of the identity's
+    first finding.  One shuffle by identity.
     """
-    keys = list(identity)
-    groups = findings.groupBy(*keys, report).agg(F.count("*").alias("_n"), F.min(S.severity_rank(F.col(severity))).alias("_worst"), F.min(ordinal).alias("_first"))
-    by = Window.partitionBy(*keys)
-    best = groups.withColumn("_place", F.row_number().over(by.orderBy(F.desc("_n"), "_worst", "_first"))).withColumn("first_seen", F.min("_first").over(by)).where("_place = 1")
-    named = best.select(*(F.col(k).alias(f"_{k}") for k in (*keys, report)), "first_seen")
-    same = None
-    for k in (*keys, report):
-        equal = F.col(k).eqNullSafe(F.col(f"_{k}"))
-        same = equal if same is None else same & equal
-    return findings.join(named, same).select(*findings.columns, "first_seen")
+    by_report = F.col(order or report)
+    own, all_ = Window.partitionBy(*identity, report), Window.partitionBy(*identity)
+    counted = findings.withColumn("_n", F.count("*").over(own)).withColumn("_worst", F.min(S.severity_rank(F.col(severity))).over(own))
+    rank = F.struct(-F.col("_n"), F.col("_worst"), by_report, F.col(report))
+    first = F.struct(by_report.alias("report"), F.col(ordinal).alias("ordinal"))
+    best = counted.withColumn("_rank", rank).withColumn("_best", F.min("_rank").over(all_)).withColumn("first_seen", F.min(first).over(all_))
+    return best.where("_rank = _best").select(*findings.columns, "first_seen")
 
 
 def attributed(reports: dict[str, DataFrame], name: str = "doctor") -> DataFrame:

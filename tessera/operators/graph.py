@@ -12,23 +12,33 @@ from tessera.functions import text as T
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Written to the folder that spark.checkpoint.dir names (one of our own where it is unset) and read back: the lineage ends here."""
+    """Written to the folder that spark.checkpoint.dir names (one of our own for a local master without) and read back: the lineage ends here."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='tessera-')}")
     path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """``src, dst, depth``: all pairs that a path joins, with the least number of edges (semi-naive rounds; its size is that of the answer)."""
+_own: dict[str, str] = {}
+
+
+def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``src, dst, depth``: all pairs that a path joins, with the least number of edges (semi-naive rounds; its size is that of the answer).
+
+    ``max_depth``: paths of at most so many edges only; without it, rounds go on until nothing is new.
+    """
     step = edges.where("src != dst").select("src", "dst").distinct()
     found = kept(step.withColumn("depth", F.lit(1)))
     fresh = found
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while max_depth is None or depth < max_depth:
+        depth += 1
         longer = fresh.select("src", F.col("dst").alias("mid")).join(step.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         fresh = kept(longer.join(found, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if not fresh.head(1):
@@ -37,7 +47,7 @@ def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     return found
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``vertex, component, size`` of strongly connected components with more than one vertex, by forward and backward colours.
 
     Each round gives every vertex the least vertex that reaches it, then keeps those that also reach that vertex inside the colour; the rest
@@ -45,15 +55,15 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """
     left = kept(edges.where("src != dst").select("src", "dst").distinct())
     done = None
-    for _ in range(max_rounds):
-        left = _trim(left, max_rounds)
+    while True:  # each round takes out the component of every colour's least vertex
+        left = _trim(left)
         if not left.head(1):
             break
-        colour = _spread(left, left.select(F.col("src").alias("v")).union(left.select("dst")).distinct().withColumn("c", F.col("v")), max_rounds)
+        colour = _spread(left, left.select(F.col("src").alias("v")).union(left.select("dst")).distinct().withColumn("c", F.col("v")))
         a, b = colour.toDF("src", "cs"), colour.toDF("dst", "cd")
         inside = kept(left.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
         back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "c")
-        reached = _reach(back, max_rounds)
+        reached = _reach(back)
         sized = reached.groupBy("c").agg(F.count("*").alias("size"))
         part = kept(reached.join(sized.where("size > 1"), "c").select("v", "c", "size"))
         done = part if done is None else done.unionByName(part)
@@ -64,10 +74,10 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     return done.select(F.col("v").alias("vertex"), F.col("c").alias("component"), "size")
 
 
-def _trim(edges: DataFrame, rounds: int) -> DataFrame:
+def _trim(edges: DataFrame) -> DataFrame:
     """Without vertices that have no edge in or none out, which are in no cycle."""
     n = edges.count()
-    for _ in range(rounds):
+    while True:
         edges = kept(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         if (now := edges.count()) == n:
             break
@@ -75,9 +85,9 @@ def _trim(edges: DataFrame, rounds: int) -> DataFrame:
     return edges
 
 
-def _spread(edges: DataFrame, colours: DataFrame, rounds: int) -> DataFrame:
+def _spread(edges: DataFrame, colours: DataFrame) -> DataFrame:
     at = kept(colours)
-    for _ in range(rounds):
+    while True:
         sent = edges.join(at.toDF("src", "c"), "src").select(F.col("dst").alias("v"), "c")
         after = kept(at.unionByName(sent).groupBy("v").agg(F.min("c").alias("c")))
         changed = bool(after.join(at.withColumnRenamed("c", "old"), "v").where("c != old").head(1))
@@ -87,11 +97,11 @@ def _spread(edges: DataFrame, colours: DataFrame, rounds: int) -> DataFrame:
     return at
 
 
-def _reach(edges: DataFrame, rounds: int) -> DataFrame:
+def _reach(edges: DataFrame) -> DataFrame:
     """``v, c``: the vertices that each colour's own vertex reaches inside the colour."""
     found = kept(edges.select("c").distinct().select(F.col("c").alias("v"), "c"))
     fresh = found
-    for _ in range(rounds):
+    while True:
         step = edges.join(fresh.withColumnRenamed("v", "src"), ["src", "c"]).select(F.col("dst").alias("v"), "c").distinct()
         fresh = kept(step.join(found, ["v", "c"], "left_anti"))
         if not fresh.head(1):

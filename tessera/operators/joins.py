@@ -58,3 +58,50 @@ def bag_anti_join(left: DataFrame, baseline: DataFrame, keys: list[str], order:
 def first_match(pairs: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def map_lines(points: DataFrame, hunks: DataFrame, key: str) -> DataFrame:
+    """``points(key, file, line)`` to ``key, base_line``: the line before the hunks ``(file, s, n, old)`` changed the file; null inside a hunk.
+
+    A hunk replaces ``old`` lines by the ``n`` lines from ``s`` on.  One shuffle by file and one sorted pass.
+    """
+    none = F.lit(None)
+    kind = points.schema[key].dataType
+    starts = hunks.select("file", F.col("s").alias("at"), F.lit(0).alias("kind"), none.cast(kind).alias(key), (F.col("s") + F.col("n")).alias("end"), F.lit(0).cast("long").alias("shift"))
+    ends = hunks.select("file", (F.col("s") + F.col("n")).alias("at"), F.lit(0).alias("kind"), none.cast(kind).alias(key), none.cast("long").alias("end"), (F.col("n") - F.col("old")).cast("long").alias("shift"))
+    asked = points.select("file", F.col("line").alias("at"), F.lit(1).alias("kind"), key, none.cast("long").alias("end"), none.cast("long").alias("shift"))
+    so_far = Window.partitionBy("file").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    made = starts.unionByName(ends).unionByName(asked).withColumn("reach", F.max("end").over(so_far)).withColumn("moved", F.sum("shift").over(so_far)).where("kind = 1")
+    return made.select(key, F.when(F.coalesce(F.col("reach") > F.col("at"), F.lit(False)), None).otherwise(F.col("at") - F.coalesce("moved", F.lit(0))).alias("base_line"))
+
+
+#: Items whose keys are compared inside a document's row, and items of fewer words than a key needs, at most.
+IN_ROW, SHORT_ITEMS = 20_000, 10_000
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` of each row of ``docs(doc_id, text)`` whose text holds that of a row of ``items(item_id, item)``.
+
+    An item of at least six words is known by a hash of its words 2 to 5, which are whole words of any text that holds it; a document's
+    hashes are compared in its row, and only candidates bring their text to ``contains``.  Shorter items are looked for one by one.
+    """
+    words = lambda c: F.filter(F.split(c, "[ \t\n\r]+"), lambda x: x != "")
+    made = items.select("item_id", "item", words(F.col("item")).alias("w")).where("item is not null")
+    long_ = made.where(F.size("w") >= 6).select("item_id", "item", F.xxhash64(*(F.get("w", F.lit(i)) for i in range(1, 5))).alias("key"))
+    short = made.where(F.size("w") < 6).select("item_id", "item")
+    w = words(F.col("text"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(4)))))
+    wide = docs.select("doc_id", "text", w.alias("w")).where(F.size("w") >= 4).select("doc_id", "text", grams.alias("grams"))
+    if long_.limit(IN_ROW + 1).count() <= IN_ROW:
+        keys = F.broadcast(long_.agg(F.collect_set("key").alias("keys")))
+        hits = wide.crossJoin(keys).select("doc_id", "text", F.explode(F.array_intersect("grams", "keys")).alias("key")).join(F.broadcast(long_), "key")  # one row of keys
+    else:
+        hits = wide.select("doc_id", "text", F.explode("grams").alias("key")).join(long_.select("key").distinct(), "key", "left_semi").join(long_, "key")
+    found = hits.where(F.expr("contains(text, item)")).select("doc_id", "item_id")
+    if (n := short.limit(SHORT_ITEMS + 1).count()) > SHORT_ITEMS:
+        raise ValueError(f"more than {SHORT_ITEMS} items of under six words")
+    if n:
+        listed = F.broadcast(short.agg(F.collect_list(F.struct("item_id", "item")).alias("short")))
+        few = docs.select("doc_id", "text").crossJoin(listed).select("doc_id", F.explode(F.filter("short", lambda x: F.contains(F.col("text"), x["item"]))).alias("x"))  # one row of items
+        found = found.unionByName(few.select("doc_id", F.col("x.item_id").alias("item_id")))
+    return found

@@ -103,26 +103,28 @@ def importance_weighted_score(t):
     return i.rollup("importance").agg((100 * F.sum("part") / F.sum(i["importance"])).alias("share"), F.count("*").alias("n"))
 
 
-FINDINGS_SQL = f"f AS (SELECT l_returnflag AS report, l_partkey AS file, l_linenumber AS line, l_linestatus AS type, {SEV_SQL} AS severity, l_orderkey * 10 + l_linenumber AS ordinal FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
+FINDINGS_SQL = f"f AS (SELECT l_returnflag AS report, l_partkey AS file, l_linenumber AS line, l_linestatus AS type, {SEV_SQL} AS severity, (l_orderkey * 10 + l_linenumber) * 100000 + l_suppkey AS ordinal FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 def as_findings(t):
     sev = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), S.severity(raw_severity()).alias("severity"))
-    rows = t.lineitem.select("l_orderkey", F.col("l_returnflag").alias("report"), F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("type"))
-    return rows.join(sev, "l_orderkey").select("report", "file", "line", "type", "severity", (F.col("l_orderkey") * 10 + F.col("line")).alias("ordinal"))
+    rows = t.lineitem.select("l_orderkey", "l_suppkey", F.col("l_returnflag").alias("report"), F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_linestatus").alias("type"))
+    return rows.join(sev, "l_orderkey").select("report", "file", "line", "type", "severity", ((F.col("l_orderkey") * 10 + F.col("line")) * 100000 + F.col("l_suppkey")).alias("ordinal"))
 
 
 @spec("cross_report_dedupe", f"""WITH {FINDINGS_SQL}, g AS (SELECT report, file, line, type, count(*) AS n, min(CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END) AS worst, min(ordinal) AS first FROM f GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY file, line, type ORDER BY n DESC, worst, first) AS place, min(first) OVER (PARTITION BY file, line, type) AS first_seen FROM g)
-SELECT f.*, first_seen FROM f JOIN b USING (report, file, line, type) WHERE place = 1""")
+b AS (SELECT *, row_number() OVER (PARTITION BY file, line, type ORDER BY n DESC, worst, report) AS place, first_value(report) OVER w AS first_report, first_value(first) OVER w AS first_seen FROM g WINDOW w AS (PARTITION BY file, line, type ORDER BY report))
+SELECT f.*, first_report, first_seen FROM f JOIN b USING (report, file, line, type) WHERE place = 1""")
 def cross_report_dedupe(t):
-    return D.max_multiplicity(as_findings(t))
+    """Reports come in the order of their names; on equal terms the earlier one's call stays."""
+    made = D.max_multiplicity(as_findings(t))
+    return made.select("report", "file", "line", "type", "severity", "ordinal", F.col("first_seen.report").alias("first_report"), F.col("first_seen.ordinal").alias("first_seen"))
 
 
-@spec("union_attributed", "SELECT l_returnflag AS doctor, l_partkey AS file, l_linenumber AS line FROM lineitem UNION ALL SELECT 'orders', o_custkey, 0 FROM orders")
+@spec("union_attributed", "SELECT 'lines' AS doctor, l_partkey AS file, l_linenumber AS line FROM lineitem UNION ALL SELECT 'orders', o_custkey, 0 FROM orders")
 def union_attributed(t):
-    a = t.lineitem.select(F.col("l_returnflag").alias("doctor"), F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line"))
-    return a.unionByName(t.orders.select(F.lit("orders").alias("doctor"), F.col("o_custkey").alias("file"), F.lit(0).alias("line")))
+    lines = t.lineitem.select(F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("line"))
+    return D.attributed({"lines": lines, "orders": t.orders.select(F.col("o_custkey").alias("file"), F.lit(0).alias("line"))}).select("doctor", "file", "line")
 
 
 @spec("bag_anti_baseline", "SELECT l_partkey AS file, l_linestatus AS type FROM lineitem WHERE l_returnflag <> 'A' EXCEPT ALL SELECT l_partkey, l_linestatus FROM lineitem WHERE l_returnflag = 'A'")
@@ -145,11 +147,10 @@ p AS (SELECT event_id, user_id AS file, event_id % 1000 AS line FROM events)
 SELECT event_id, CASE WHEN coalesce(bool_or(line >= new_start AND line < new_start + new_count), false) THEN NULL ELSE line - coalesce(sum(new_count - old_count) FILTER (new_start + new_count <= line), 0)::BIGINT END AS base_line
 FROM p LEFT JOIN h USING (file) GROUP BY event_id, line""")
 def line_mapper(t):
+    """Hunks' ends and events in one order by line: running sums and greatest ends, no join of events with hunks."""
     h = t.orders.select(F.col("o_custkey").alias("file"), (F.col("o_orderkey") % 1000).alias("s"), (1 + F.col("o_orderkey") % 5).alias("n"), (F.col("o_orderkey") % 3).alias("old"))
     p = t.events.select("event_id", F.col("user_id").alias("file"), (F.col("event_id") % 1000).alias("line"))
-    stop = F.col("s") + F.col("n")
-    by = p.join(h, "file", "left").groupBy("event_id", "line").agg(F.bool_or((F.col("line") >= F.col("s")) & (F.col("line") < stop)).alias("new"), F.sum(F.when(stop <= F.col("line"), F.col("n") - F.col("old"))).alias("d"))
-    return by.select("event_id", F.when(F.coalesce("new", F.lit(False)), None).otherwise(F.col("line") - F.coalesce("d", F.lit(0))).alias("base_line"))
+    return J.map_lines(p, h, "event_id")
 
 
 @spec("semi_related_lines", "SELECT l_orderkey, l_linenumber FROM lineitem l WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = l_orderkey % 200 AND e.event_id % 7 IN (l_linenumber, l_linenumber + 1))")

@@ -8,26 +8,31 @@ from pyspark.sql import functions as F
 from tessera.catalogue import spec
 from tessera.operators import graph as G
 
-EDGES_SQL = """w AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL),
+ALL_SQL = """w AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL)"""
+EDGES_SQL = f"""{ALL_SQL},
 e AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS n FROM w WHERE src <> dst) WHERE n <= 2)"""
 
 
-def edges(t):
-    """Each module's two heaviest edges to others, so that the graph isn't complete."""
+def all_edges(t):
+    """Every pair of different modules with what lies between them."""
     li = t.lineitem.select("l_orderkey", "l_suppkey").join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
     o = t.orders.select("o_orderkey", "o_custkey").join(t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src")), "o_custkey")
-    w = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "dst").agg(F.count("*").alias("weight")).where("src != dst")
-    return w.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("n <= 2").select("src", "dst", "weight")
+    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("src", "dst").agg(F.count("*").alias("weight")).where("src != dst")
+
+
+def edges(t):
+    """Each module's two heaviest edges: a sparser graph for the queries on paths and cycles, where the whole one, which is complete, has one answer for all."""
+    return all_edges(t).withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))).where("n <= 2").select("src", "dst", "weight")
 
 
-@spec("module_edges", f"WITH {EDGES_SQL} SELECT * FROM e")
+@spec("module_edges", f"WITH {ALL_SQL} SELECT * FROM w WHERE src <> dst")
 def module_edges(t):
-    return edges(t)
+    return all_edges(t)
 
 
-@spec("fan_in_out", f"WITH {EDGES_SQL}, x AS (SELECT src AS vertex, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) SELECT vertex, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM x GROUP BY 1")
+@spec("fan_in_out", f"WITH {ALL_SQL}, e AS (SELECT * FROM w WHERE src <> dst), x AS (SELECT src AS vertex, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) SELECT vertex, sum(i)::BIGINT AS fan_in, sum(o)::BIGINT AS fan_out FROM x GROUP BY 1")
 def fan_in_out(t):
-    return G.fans(edges(t))
+    return G.fans(all_edges(t))
 
 
 @spec("reachability", f"WITH RECURSIVE {EDGES_SQL}, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, dst FROM r")
@@ -58,11 +63,11 @@ def lump_other(t):
     return m.join(F.broadcast(top), F.col("module") == F.col("kept"), "left").groupBy(F.coalesce("kept", F.lit("(other)")).alias("module")).agg(F.sum("loc").alias("loc"))
 
 
-@spec("data_clumps", """WITH g AS (SELECT DISTINCT l_orderkey, l_suppkey % 40 AS p FROM lineitem), k AS (SELECT l_orderkey FROM g GROUP BY 1 HAVING count(*) BETWEEN 3 AND 8), q AS (SELECT g.* FROM g JOIN k USING (l_orderkey))
+@spec("data_clumps", """WITH g AS (SELECT DISTINCT l_orderkey, l_suppkey % 40 AS p FROM lineitem), q AS (SELECT * FROM g)
 SELECT a.p AS a, b.p AS b, c.p AS c, count(*) AS functions FROM q a JOIN q b ON a.l_orderkey = b.l_orderkey AND a.p < b.p JOIN q c ON c.l_orderkey = b.l_orderkey AND b.p < c.p GROUP BY ALL HAVING count(*) >= 3""")
 def data_clumps(t):
-    """Each function's parameters are one short sorted array, whose 3-subsets are made in the row: one shuffle, no self-joins."""
-    g = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 40)).alias("p")).where(F.size("p").between(3, 8))
+    """Each function's parameters are one sorted array (as long as a parameter list), whose 3-subsets are made in the row: one shuffle, no self-joins."""
+    g = t.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_set(F.col("l_suppkey") % 40)).alias("p")).where(F.size("p") >= 3)
     at = lambda i: F.get("p", i)
     last = F.size("p") - 1
     triples = F.flatten(F.transform(F.sequence(F.lit(0), last - 2), lambda i: F.flatten(F.transform(F.sequence(i + 1, last - 1), lambda j: F.transform(F.sequence(j + 1, last), lambda k: F.struct(at(i).alias("a"), at(j).alias("b"), at(k).alias("c")))))))
@@ -72,9 +77,13 @@ def data_clumps(t):
 @spec("lcom_pairs", """WITH m AS (SELECT l_orderkey AS class, l_linenumber AS method, list_distinct(list(l_suppkey % 5)) AS attrs FROM lineitem GROUP BY ALL)
 SELECT a.class, sum(CASE WHEN list_has_any(a.attrs, b.attrs) THEN -1 ELSE 1 END)::BIGINT AS lcom, count(*) AS pairs FROM m a JOIN m b ON a.class = b.class AND a.method < b.method GROUP BY a.class""")
 def lcom_pairs(t):
+    """A class's methods are one array of attribute sets, whose pairs are counted in the row: one shuffle of narrow rows, no self-join."""
     m = t.lineitem.groupBy(F.col("l_orderkey").alias("class"), F.col("l_linenumber").alias("method")).agg(F.collect_set(F.col("l_suppkey") % 5).alias("attrs"))
-    a, b = m.toDF("class", "am", "aa"), m.toDF("class", "bm", "ba")
-    return a.join(b, "class").where("am < bm").groupBy("class").agg(F.sum(F.when(F.arrays_overlap("aa", "ba"), -1).otherwise(1)).alias("lcom"), F.count("*").alias("pairs"))
+    c = m.groupBy("class").agg(F.collect_list("attrs").alias("sets")).where(F.size("sets") > 1)
+    later = lambda i: F.slice("sets", i + 2, F.size("sets"))
+    each = F.transform("sets", lambda x, i: F.aggregate(later(i), F.lit(0), lambda n, y: n + F.when(F.arrays_overlap(x, y), -1).otherwise(1)))
+    k = F.size("sets").cast("long")
+    return c.select("class", F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b).alias("lcom"), (k * (k - 1) / 2).cast("long").alias("pairs"))
 
 
 @spec("single_implementation", "SELECT n_nationkey, n_name, count(s_suppkey) AS implementations FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL HAVING count(s_suppkey) <= 2")

@@ -68,10 +68,13 @@ def commented_runs(t):
     return k.groupBy("user_id", "event_type", "island").agg(F.min("n").alias("first"), F.count("*").alias("length")).where("length >= 2").drop("island")
 
 
-@spec("thread_order", "SELECT conv_id, turn, role, row_number() OVER (ORDER BY role <> 'user', conv_id, turn) AS place FROM conversations WHERE turn = 0")
+@spec("thread_order", "SELECT conv_id, turn, role, row_number() OVER (ORDER BY role <> 'user', conv_id, turn) AS place FROM conversations")
 def thread_order(t):
-    first = t.conversations.where("turn = 0").select("conv_id", "turn", "role")
-    return first.withColumn("place", F.row_number().over(Window.orderBy(F.col("role") != "user", "conv_id", "turn")))
+    """Places of all turns: rows are ranked within ranges of conversations, and ranges go on from one to the next by counted sums."""
+    from tessera.operators.order import places
+
+    rows = t.conversations.select("conv_id", "turn", "role", (F.col("role") != "user").cast("int").alias("late"))
+    return places(rows, ["late", "conv_id", "turn"], F.col("late"), F.floor(F.col("conv_id") / 256), "place").select("conv_id", "turn", "role", "place")
 
 
 @spec("thread_summary", "SELECT role, count(*) AS comments, count(DISTINCT conv_id) AS threads, count(*) FILTER (text LIKE '%?%') AS questions, max(turn) AS longest FROM conversations GROUP BY role")

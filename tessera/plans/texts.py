@@ -10,30 +10,35 @@ from tessera.functions import text as T
 from tessera.operators import graph as G
 from tessera.operators import joins as J
 
-BRANCH_SQL = T.BRANCH.replace("'", "''")
-COMMENT_SQL = T.COMMENT.replace("'", "''")
+#: Line by line: the reference's own way, written out for DuckDB (whose word bounds see ASCII letters only, so accented ones become z).
+BLANK_SQL = T.BLANK
+TRIM_SQL = f"regexp_replace(regexp_replace(line, '^{BLANK_SQL}+', ''), '{BLANK_SQL}+$', '')"
+COMMENT_SQL = "^(" + T.COMMENT[1:-1].replace("\\'", "''").replace('\\"', '"') + ")"
+LETTER_SQL = "regexp_replace(line, '[À-ÖØ-öø-ɏ]', 'z', 'g')"
+BRANCHES_SQL = f"len(regexp_extract_all({LETTER_SQL}, '{T.BRANCH.replace(chr(92) + 's', T.BLANK)}'))"
 #: A document's lines, its lines with text, and its branches.
-LINES_SQL = "l AS (SELECT doc_id, lang, source, unnest(string_split(CASE WHEN text LIKE '%' || chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS line FROM documents WHERE text <> '')"
-METRICS_SQL = f"""m AS (SELECT d.doc_id, d.lang, d.source, count(*) FILTER (trim(line) <> '') AS loc,
-  coalesce(sum(len(regexp_extract_all(line, '{BRANCH_SQL}'))) FILTER (trim(line) <> '' AND NOT regexp_matches(trim(line), '{COMMENT_SQL}')), 0) AS branches
-  FROM documents d LEFT JOIN l USING (doc_id) GROUP BY ALL)"""
+LINES_SQL = f"l AS (SELECT doc_id, lang, source, unnest(string_split(regexp_replace(text, '{T.LINE_END}', chr(10), 'g'), chr(10))) AS line FROM documents WHERE text <> '')"
+METRICS_SQL = f"""s AS (SELECT *, {TRIM_SQL} AS bare FROM l), m AS (SELECT d.doc_id, d.lang, d.source, count(*) FILTER (bare <> '') AS loc,
+  coalesce(sum({BRANCHES_SQL}) FILTER (NOT regexp_matches(bare, '{COMMENT_SQL}')), 0) AS branches,
+  coalesce(max(least(CASE WHEN i LIKE '% %' THEN length(i) // 4 ELSE length(i) END, 12)) FILTER (bare <> '' AND NOT regexp_matches(bare, '{COMMENT_SQL}')), 0) AS depth
+  FROM documents d LEFT JOIN (SELECT *, regexp_extract(line, '^[ \\t]*') AS i FROM s) s USING (doc_id) GROUP BY ALL)"""
 
 
 def metrics(t):
-    return t.documents.select("doc_id", "lang", "source", T.loc(F.col("text")).alias("loc"), T.branches(F.col("text")).alias("branches"))
+    return t.documents.select("doc_id", "lang", "source", T.loc(F.col("text")).alias("loc"), T.branches(F.col("text")).alias("branches"), T.max_indent(F.col("text")).alias("depth"))
 
 
 def churn(t):
-    """Events stand for commits: each touches the document that its user's number leads to."""
-    return t.events.groupBy((F.col("user_id") * 7 % 1000).alias("doc_id")).agg(F.count("*").alias("churn"), F.countDistinct("event_type").alias("authors"))
+    """Events stand for commits: each touches the document that its number and its user's lead to."""
+    return t.events.groupBy((F.col("event_id") * 31 % 7919 + F.col("user_id") * 7 % 100).alias("doc_id")).agg(F.count("*").alias("churn"), F.countDistinct("event_type").alias("authors"))
 
 
-@spec("loc_complexity", f"WITH {LINES_SQL}, {METRICS_SQL} SELECT doc_id, loc, branches::BIGINT AS branches FROM m")
+@spec("loc_complexity", f"WITH {LINES_SQL}, {METRICS_SQL} SELECT doc_id, loc, branches::BIGINT AS branches, depth::BIGINT AS depth FROM m")
 def loc_complexity(t):
-    return metrics(t).select("doc_id", F.col("loc").cast("long").alias("loc"), F.col("branches").cast("long").alias("branches"))
+    return metrics(t).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("loc", "branches", "depth")))
 
 
-@spec("doc_hotspots", f"""WITH {LINES_SQL}, {METRICS_SQL}, c AS (SELECT user_id * 7 % 1000 AS doc_id, count(*) AS churn, count(DISTINCT event_type) AS authors FROM events GROUP BY 1)
+@spec("doc_hotspots", f"""WITH {LINES_SQL}, {METRICS_SQL}, c AS (SELECT event_id * 31 % 7919 + user_id * 7 % 100 AS doc_id, count(*) AS churn, count(DISTINCT event_type) AS authors FROM events GROUP BY 1)
 SELECT m.doc_id, loc, branches::BIGINT AS branches, coalesce(churn, 0) AS churn, coalesce(authors, 0) AS authors, (coalesce(churn, 0) * (branches + 1))::BIGINT AS score
 FROM m LEFT JOIN c USING (doc_id) WHERE loc > 0 ORDER BY score DESC, doc_id LIMIT 60""")
 def doc_hotspots(t):
@@ -42,7 +47,7 @@ def doc_hotspots(t):
     return ranked.orderBy(F.desc("score"), "doc_id").limit(60)  # the feature is a top 60
 
 
-@spec("dormant_complex", f"""WITH {LINES_SQL}, {METRICS_SQL}, c AS (SELECT DISTINCT user_id * 7 % 1000 AS doc_id FROM events)
+@spec("dormant_complex", f"""WITH {LINES_SQL}, {METRICS_SQL}, c AS (SELECT DISTINCT event_id * 31 % 7919 + user_id * 7 % 100 AS doc_id FROM events)
 SELECT doc_id, branches::BIGINT AS branches FROM m ANTI JOIN c USING (doc_id) WHERE branches > 3 ORDER BY branches DESC, doc_id LIMIT 8""")
 def dormant_complex(t):
     return metrics(t).where("branches > 3").join(churn(t), "doc_id", "left_anti").select("doc_id", F.col("branches").cast("long").alias("branches")).orderBy(F.desc("branches"), "doc_id").limit(8)
@@ -84,12 +89,6 @@ def module_assignment(t):
     return J.longest_prefix_join(paths(t).select("doc_id", "path"), modules).withColumnRenamed("matched", "module").select("doc_id", "path", "module")
 
 
-@spec("test_paths", f"WITH {PATHS_SQL} SELECT doc_id, path, path LIKE '%/de/%' OR regexp_matches(path, '(^|/)(src1|src3)/') AS is_test FROM f")
-def test_paths(t):
-    p = paths(t)
-    return p.select("doc_id", "path", (p.path.contains("/de/") | p.path.rlike("(^|/)(src1|src3)/")).alias("is_test"))
-
-
 @spec("exact_duplicates", """SELECT substr(sha256(regexp_replace(lower(trim(text)), '[ \\t\\n\\r]+', ' ', 'g')), 1, 12) AS digest, count(*) AS copies, min(doc_id) AS first_id, avg(n_chars) AS avg_chars
 FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def exact_duplicates(t):
@@ -137,15 +136,12 @@ def value_trace(t):
 
 @spec("benchmark_containment", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(t):
-    """Candidates by the item's first five words, then the whole text: equal keys, no pairs of all with all."""
-    from functools import reduce  # noqa: F401
-
-    words = lambda c: F.split(F.trim(c), "[ \t\n\r]+")
-    items = t.benchmark.select("item_id", F.col("text").alias("item")).withColumn("key", F.array_join(F.slice(words(F.col("item")), 2, 4), " "))
-    w = words(F.col("text"))
-    grams = t.documents.select("doc_id", "text", w.alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 4), " ")))).alias("key"))
-    hits = grams.join(F.broadcast(items.select("item_id", "key")) if items.limit(20_001).count() <= 20_000 else items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    return hits.join(t.documents.select("doc_id", "text"), "doc_id").join(t.benchmark.select("item_id", F.col("text").alias("item")), "item_id").where(F.expr("contains(text, item)")).select("doc_id", "item_id")
+    """Documents that hold an item's text, wherever it begins and ends.
+
+    Each item is known by one run of ``GRAM`` bytes at a fixed place in it (its middle); a document's runs are hashed in the row and only
+    those that an item has leave it.  Items shorter than that, of which there can be few different ones, are compared with every document.
+    """
+    return J.contained(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", F.col("text").alias("item")))
 
 
 @spec("dead_tokens", """WITH w AS (SELECT doc_id, lang, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS w FROM documents),
