@@ -20,7 +20,6 @@ import base64
 import heapq
 import json
 import re
-import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,7 +31,7 @@ from tessera.llm.common import in_pieces
 
 BUCKETS, NONE = 8192, 2**31 - 1
 #: Words that a task remembers, and bytes from which a word is long.
-MAX_WORDS, LONG, SHIFT = 700_000, 96, 1 << 24
+MAX_WORDS, LONG, SHIFT = 250_000, 96, 1 << 24
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -281,17 +280,6 @@ def scattered(points, place):
     return h ^ (h >> np.uint64(32))
 
 
-_words: dict[tuple[str, str], Words] = {}
-
-
-def worker_words(ident: str, sent, pattern: str) -> Words:
-    """The words of a Python worker, kept from task to task of one broadcast vocabulary."""
-    if (ident, pattern) not in _words:
-        _words.clear()
-        _words[ident, pattern] = Words(sent.value[0], pattern, sent.value[1])
-    return _words[ident, pattern]
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``doc_id, ids`` of each row: the ids of its whole text, without special tokens."""
     import numpy as np
@@ -300,10 +288,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     if missing := [b for b in range(256) if bytes([b]) not in ranks]:
         raise ValueError(f"no token for the bytes {missing[:5]}")
     sent = docs.sparkSession.sparkContext.broadcast((ranks, pairs_of(ranks)))  # follows the vocabulary's size, not the data's
-    ident = uuid.uuid4().hex
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        words = worker_words(ident, sent, pattern)
+        words = Words(sent.value[0], pattern, sent.value[1])
         for piece in in_pieces(batches, max_bytes=2_000_000):
             ids = words.encode(piece.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))

@@ -136,3 +136,10 @@ def by_text(df: DataFrame, work: Callable, schema: str, max_bytes: int = 2_000_0
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get at most 1,000 rows and 8 MB at a time.
+
+    Queries and stages that own their session call this; operators leave the session as it is and work with batches of any size.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")

@@ -25,7 +25,7 @@ from collections.abc import Mapping
 from fractions import Fraction
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,15 +142,14 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     sent = spark.sparkContext.broadcast(targets)  # a number for each source
     sized = F.broadcast(spark.createDataFrame([(k, max(1, -(-n // rows_per_range))) for k, n in sizes.items()], "source string, ranges long"))
 
-    @F.pandas_udf("slot long, release long, deadline long")
-    def placed(names: pd.Series, halves: pd.Series) -> pd.DataFrame:
-        plan, seen = schedule(sent.value, slots_per_source), {}
-        out = []
-        for at in zip(names.tolist(), halves.tolist(), strict=True):
+    @F.arrow_udf("slot long, release long, deadline long")
+    def placed(names: pa.Array, halves: pa.Array) -> pa.Array:
+        plan, seen, out = schedule(sent.value, slots_per_source), {}, []
+        for at in zip(names.to_pylist(), halves.to_pylist(), strict=True):
             if at not in seen:
                 seen[at] = plan.place(*at)
             out.append(seen[at])
-        return pd.DataFrame(out, columns=["slot", "release", "deadline"])
+        return pa.StructArray.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["slot", "release", "deadline"])
 
     # a source of n rows has ceil(n / rows_per_range) hash ranges; ranks go on from one range to the next
     ranged = lambda df: df.join(sized, "source").withColumn("range", F.pmod(F.shiftrightunsigned("key", 33), F.col("ranges")))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, embedding_dedup, license_scan, merkle, mixing, ngram_join, quality, substring_dedup, toxicity, url_filter
-from tessera.llm.common import held_out, table
+from tessera.llm.common import held_out, small_batches, table
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,5 +68,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_pfair_mix, op2_cdc_dedup, op3_embedding_near_dup, op4_ngram_jaccard, op5_quality_rules, op6_toxicity_crf, op7_merkle_fingerprint, op8_byte_bpe, op9_url_filter, op10_license_scan, pipeline)}
+def bounded(query):
+    """The query in a session whose Python workers get small batches."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {f.__name__: bounded(f) for f in (op1_pfair_mix, op2_cdc_dedup, op3_embedding_near_dup, op4_ngram_jaccard, op5_quality_rules, op6_toxicity_crf, op7_merkle_fingerprint, op8_byte_bpe, op9_url_filter, op10_license_scan, pipeline)}
 ORACLES = {"op9_url_filter": url_filter.oracle_sql()}
