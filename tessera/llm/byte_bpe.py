@@ -27,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import in_pieces
+from tessera.llm.common import frugal, in_pieces
 
 BUCKETS, NONE = 8192, 2**31 - 1
 #: Words that a task remembers, and bytes from which a word is long.
@@ -291,12 +291,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         words = Words(sent.value[0], pattern, sent.value[1])
-        for piece in in_pieces(batches, max_bytes=2_000_000):
+        for piece in in_pieces(batches, max_bytes=500_000):
             ids = words.encode(piece.column("text").to_pylist())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(frugal(run), ENCODED)
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], column: str = "word") -> DataFrame:
@@ -335,4 +335,4 @@ def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 d.append(hashlib.sha256(b"".join(map(of, ids.tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(frugal(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

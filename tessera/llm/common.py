@@ -121,6 +121,28 @@ def text_bytes(column: pa.Array):
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Memory that a task of a Python worker has freed goes back to the system: workers live on, for other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` of a task's batches, giving memory back at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def by_text(df: DataFrame, work: Callable, schema: str, max_bytes: int = 2_000_000, column: str = "text") -> DataFrame:
     """``work(piece) -> dict of columns`` over bounded pieces of Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -133,7 +155,7 @@ def by_text(df: DataFrame, work: Callable, schema: str, max_bytes: int = 2_000_0
             made = work(piece)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], pa.Array) else made[f.name].cast(f.type) for f in out], names=out.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(frugal(run), schema)
 
 
 def small_batches(spark: SparkSession) -> None:

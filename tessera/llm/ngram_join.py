@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_text, settle, sieve, sieved, text_bytes, text_key, whole_text
+from tessera.llm.common import by_text, frugal, settle, sieve, sieved, text_bytes, text_key, whole_text
 from tessera.llm.graph import components
 
 WORDS, THRESHOLD, RECALL, ROWS = 5, 0.8, 0.999, 5
@@ -133,7 +133,7 @@ def bucket_edges(shared: DataFrame, threshold: float) -> DataFrame:
     each = F.transform(F.sequence(F.lit(0), side - 1), lambda other: F.struct(F.least(part, other).alias("i"), F.greatest(part, other).alias("j")))
     dealt = shared.withColumn("at", F.explode(each)).select("band", "at.i", "at.j", "key", "sketch")
     n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(run, "a binary, b binary")
+    return dealt.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(frugal(run), "a binary, b binary")
 
 
 def blocks(members: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def verify(dealt: DataFrame, threshold: float) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, others, counts, single), out, strict=True)], schema=out)
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(run, "key binary, other binary, links long, alone boolean")
+    return dealt.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(frugal(run), "key binary, other binary, links long, alone boolean")
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

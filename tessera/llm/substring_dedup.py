@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import by_text, settle, sieve, sieved, text_bytes, text_key, whole_text
+from tessera.llm.common import by_text, frugal, settle, sieve, sieved, text_bytes, text_key, whole_text
 
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK, MIN_RUN = 16, 5, 256, 96
 SEED, SEED_BYTES = 0x5EED, 32
@@ -166,6 +166,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def stretches(both: DataFrame) -> DataFrame:
     """``both(dk, th, hits, text)`` to ``dk, th, odk, base, places, text``: for each owner of a seed in a stretch, the stretch's bytes from ``base`` on."""
+    import numpy as np
     import pyarrow as pa
 
     out = pa.schema([("dk", pa.int64()), ("th", pa.int64()), ("odk", pa.int64()), ("base", pa.int32()), ("places", pa.list_(pa.int32())), ("text", pa.binary())])
@@ -173,27 +174,24 @@ def stretches(both: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows, size = [], 0
-            for dk, th, hits, text in zip(*(batch.column(c).to_pylist() for c in ("dk", "th", "hits", "text")), strict=True):
-                raw, at = text.encode("utf-8", "surrogatepass"), 0
-                while at < len(hits):
-                    end = at + 1
-                    while end < len(hits) and hits[end]["start"] - hits[end - 1]["start"] <= MIN_RUN - SEED_BYTES + 1:
-                        end += 1
-                    base = max(0, hits[at]["start"] - MIN_RUN)
-                    piece = raw[base : hits[end - 1]["start"] + SEED_BYTES + MIN_RUN]
-                    owners: dict[int, list[int]] = {}
-                    for x in hits[at:end]:
-                        owners.setdefault(x["odk"], []).append(x["start"])
-                    for odk, places in owners.items():
-                        rows.append({"dk": dk, "th": th, "odk": odk, "base": base, "places": places, "text": piece})
+            hits = batch.column("hits")
+            places_of, owners_of, ends = hits.values.field("start").to_numpy(), hits.values.field("odk").to_numpy(), hits.offsets.to_numpy()
+            for i, (dk, th) in enumerate(zip(batch.column("dk").to_pylist(), batch.column("th").to_pylist(), strict=True)):
+                raw = batch.column("text")[i].as_py().encode("utf-8", "surrogatepass")
+                starts, odks = places_of[ends[i] : ends[i + 1]], owners_of[ends[i] : ends[i + 1]]
+                heads = np.flatnonzero(np.append(True, np.diff(starts) > MIN_RUN - SEED_BYTES + 1))
+                for at, end in zip(heads.tolist(), [*heads[1:].tolist(), len(starts)], strict=True):
+                    base = max(0, int(starts[at]) - MIN_RUN)
+                    piece = raw[base : int(starts[end - 1]) + SEED_BYTES + MIN_RUN]
+                    for odk in np.unique(odks[at:end]).tolist():
+                        rows.append({"dk": dk, "th": th, "odk": odk, "base": base, "places": starts[at:end][odks[at:end] == odk].tolist(), "text": piece})
                         size += len(piece)
-                    at = end
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
                     rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    return both.select("dk", "th", "hits", "text").mapInArrow(run, "dk long, th long, odk long, base int, places array<int>, text binary")
+    return both.select("dk", "th", "hits", "text").mapInArrow(frugal(run), "dk long, th long, odk long, base int, places array<int>, text binary")
 
 
 def alike(a, b) -> int:
@@ -262,7 +260,7 @@ def extended(both: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, schema=out)
 
     n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return both.repartition(n, "odk", "part").sortWithinPartitions("odk", "part", "kind").mapInArrow(run, "dk long, th long, start int, size int, owner long")
+    return both.repartition(n, "odk", "part").sortWithinPartitions("odk", "part", "kind").mapInArrow(frugal(run), "dk long, th long, start int, size int, owner long")
 
 
 def joined(hits: DataFrame) -> DataFrame:
@@ -284,7 +282,7 @@ def joined(hits: DataFrame) -> DataFrame:
                 lists.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column("dk"), batch.column("th"), pa.array(lists, kind)], names=["dk", "th", "spans"])
 
-    return hits.mapInArrow(run, "dk long, th long, spans array<struct<start:int,size:int,owner:long>>")
+    return hits.mapInArrow(frugal(run), "dk long, th long, spans array<struct<start:int,size:int,owner:long>>")
 
 
 def passages(docs: DataFrame) -> DataFrame:
