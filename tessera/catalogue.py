@@ -30,4 +30,4 @@ def spec(name: str, sql: str | None = None):
     return register
 
 
-from tessera.plans import diffs, findings, graphs, imports, measures, repository, texts  # noqa: E402, F401  they register their queries
+from tessera.plans import diffs, findings, graphs, imports, measures, repository, structure, texts  # noqa: E402, F401  they register their queries
