@@ -1,6 +1,6 @@
 """Licence scan: a paragraph classifier over sparse word n-grams, with an unknown class and a template check.
 
-A paragraph is a line.  Its features are the word 1- to 3-grams of the vocabulary, present or not.  A multinomial logistic regression is
+A paragraph is a line, so a notice wrapped over several lines is judged line by line and may stay unconfirmed or unknown.  Its features are the word 1- to 3-grams of the vocabulary, present or not.  A multinomial logistic regression is
 trained here, on the driver, from the templates below (worded by us after the notices in common use), variants of them with words dropped
 and with ordinary words around them, and paragraphs that name no licence; small weights are set to zero.  A temperature and an intercept
 shift for the unknown class are fitted on held-out variants, so that probabilities are calibrated.  A prediction is confirmed when the

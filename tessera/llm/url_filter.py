@@ -6,6 +6,9 @@ component is explicitly blocked, and is allowed otherwise.
 
 Only DataFrame functions; the aliases come from ``graph.components``.
 
+Limits: of a page's canonical links and refresh tags the first of each counts; a target counts if it is absolute or begins with ``/`` or
+``//``.  Targets relative to the page's folder make no alias; pass them as ``edges``.
+
 Edge cases: a null url, or one with no ``://``, has an empty host and path, fits no rule and has no aliases (allow).  A null page id is
 kept.  Repeated rows are judged alike.  An empty table gives no rows.  Extra columns are ignored.
 """
